@@ -1 +1 @@
-"""operators"""
+"""Relational and window operators over (timestamp, entity) panels."""
