@@ -1 +1 @@
-"""plans"""
+"""Whole runs (onboarding, forecast evaluation) and the query catalog."""
