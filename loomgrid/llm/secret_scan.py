@@ -150,3 +150,41 @@ def scan_secrets(
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """Every kind's matches and the pieces between them; weak spans by comparing all parts of a text."""
+
+    def plain(pattern: str) -> str:
+        # (?i) of RE2 also folds two letters beyond ASCII; both cases written out do not
+        if not pattern.startswith("(?i)"):
+            return pattern.replace("'", "''")
+        words, rest = pattern[5:].split(")", 1)
+        both = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+        return f"({both}){rest}".replace("'", "''")
+
+    found = []
+    for n, (kind, (pattern, group, least, part, base)) in enumerate(KINDS.items()):
+        p = plain(pattern)
+        ok = f"length(regexp_extract(m[i], '{p}', {group})) >= {least}"
+        if kind == "blob":
+            ok += " AND regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]')"
+        found.append(
+            f"SELECT rid, {n} AS k, '{kind}' AS kind, '{part}' AS part, {base} AS base, "
+            f"(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0))::BIGINT AS a, length(m[i]) AS n "
+            f"FROM (SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(x, '{p}') AS m, string_split_regex(x, '{p}') AS g FROM t)) WHERE {ok}"
+        )
+    spans = " UNION ALL ".join(found)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+every AS (SELECT *, a + n AS b FROM ({spans})),
+parts AS (SELECT * FROM every e WHERE base OR NOT EXISTS (SELECT 1 FROM every o WHERE o.rid = e.rid AND o.base AND o.a < e.b AND e.a < o.b)),
+kept AS (SELECT * FROM parts e WHERE base OR EXISTS (SELECT 1 FROM parts o WHERE o.rid = e.rid AND abs(o.a - e.a) <= {SCOPE} AND (e.part = 'secret') <> (o.part = 'secret'))),
+r AS (SELECT rid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (base) AS bs, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS s FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM t LEFT JOIN r USING (rid)
+"""
+
+
+ORACLE_SQL = _oracle()
