@@ -20,6 +20,7 @@ from .windows import ordered, rolling, run_id, run_length, run_position, running
 MASKS = ("missing", "infinite", "negative", "outlier", "long_zero", "stuck", "level_shift")
 
 
+# The defaults of the configuration.
 @dataclass(frozen=True)
 class QualityConfig:
     frequency_hours: int = 1

@@ -10,6 +10,7 @@ from .features import assert_hourly
 from .split import Split
 from .windows import feature_min_periods, ordered, rolling
 
+# The number of horizons and the feature names.
 HORIZONS = 24
 NUMERIC = [
     "origin_load", "origin_lag_24", "origin_lag_48", "origin_lag_168", "origin_rolling_mean_24", "origin_rolling_std_24",

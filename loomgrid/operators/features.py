@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cyclic, hours_between, is_federal_holiday
 from .windows import feature_min_periods, ordered, rolling
 
+# The horizon and the names of the feature sets.
 HORIZON = 24
 LOAD_V2 = ["lag_24", "lag_48", "lag_168", "rolling_mean_24", "rolling_std_24", "rolling_mean_168", "rolling_std_168"]
 LOAD_V3 = ["lag_24", "lag_48", "lag_168", "lag_336", "rolling_mean_24", "rolling_std_24", "rolling_min_24", "rolling_max_24", "rolling_mean_168", "rolling_std_168"]

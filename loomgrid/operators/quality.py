@@ -34,6 +34,7 @@ ROW_CHECKS = {
     "TIMEZONE_MISSING": ("documented source timezone", "warn", False, ["timezone"], "document_utc_normalization_caveat"),
     "COVERAGE_RARE_GROUP": ("group coverage", "warn", False, ["site_id", "primary_use"], "report"),
 }
+# The codes of checks that do not count rows of the panel.
 OTHER_CODES = (
     "SCHEMA_REQUIRED_COLUMN_MISSING",
     "INTERVAL_CONTINUITY_GAP",
@@ -45,7 +46,7 @@ OTHER_CODES = (
     "METADATA_REQUIRED_VALUE_MISSING",
 )
 ISSUE_CODES = frozenset(ROW_CHECKS) | frozenset(OTHER_CODES)
-#: Codes that fail whenever they count anything, whatever the thresholds.
+# Codes that fail whenever they count anything, whatever the thresholds.
 HARD_CODES = frozenset(
     {
         "SCHEMA_REQUIRED_COLUMN_MISSING",

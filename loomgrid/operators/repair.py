@@ -17,7 +17,7 @@ from .detectors import QualityConfig, annotate
 from .windows import BEGIN
 
 STRATEGIES = ("forward_fill", "forward_then_profile")
-#: Reason names in the order they are joined.
+# Reason names in the order they are joined.
 REASONS = (
     ("is_missing", "missing_load"),
     ("is_infinite", "infinite_load"),

@@ -102,7 +102,7 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
         zone = got["panel"].select("building_id", "timezone").distinct()
 
         def zoned(df: DataFrame) -> DataFrame:
-            return df.join(F.broadcast(zone), "building_id", "left")
+            return df.join(zone, "building_id", "left")
 
         validation = FA.inject_structural(reference, cutoff=config.cutoff, seed=config.seed, severity=config.severity, events_per_type=config.events_per_type)
         metrics = FA.confusion(validation.frame, validation.faults, quality)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Conditions, keys and the rank of statuses.
 CONDITIONS = ("reference", "corrupted", "remediated")
 KEYS = ["timestamp", "building_id"]
 FORECAST_KEYS = ["forecast_origin", "horizon_hours", "target_timestamp", "building_id"]
@@ -20,7 +21,7 @@ PANEL = T.StructType(
     ]
 )
 
-#: Source column -> published column of the weather table.
+# Source column -> published column of the weather table.
 WEATHER_COLUMNS = {
     "airTemperature": "air_temperature",
     "cloudCoverage": "cloud_coverage",
@@ -30,7 +31,7 @@ WEATHER_COLUMNS = {
     "windSpeed": "wind_speed",
 }
 
-#: Header names that stand for a contract column, first match wins.
+# Header names that stand for a contract column, first match wins.
 ALIASES = {
     "timestamp": ("timestamp", "datetime", "date_time", "time"),
     "building_id": ("building_id", "building", "meter_id"),
