@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op3_url_filters": url_filter.ORACLE_SQL,
+    "op6_hamming_topk": hamming_topk.ORACLE_SQL,
 }

@@ -1,12 +1,14 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
 Embeddings become 64-bit codes (signs of the first 64 components, or of fixed
-random projections where there are other than 64). A code is four segments of
-16 bits; each segment is an index. A query probes a segment with all values
-within s bits of its own. Once all segments were probed with radius s, every
-code within 4 (s + 1) - 1 bits was met (and a bit more for each segment that
-is a radius ahead). The radius grows in rounds until a query's kth verified
-distance lies within what is covered; finished queries leave.
+random projections where there are other than 64). A code is cut into segments,
+each of them an index, about as wide as the logarithm of the number of codes, so
+that a probe meets about one code at every size. A query probes a segment with
+all values within r bits of its own. After all m segments were probed with
+radius r and the first a of them with r + 1, every code within
+m (r + 1) + a - 1 bits was met. The radius grows in rounds until a query's kth
+verified distance lies within what is covered; finished queries leave. Rounds
+are small at first, as the kth distance so far bounds what later joins let pass.
 
 Rows with equal codes are one entry that lists its k least ids: no answer can
 hold more of them. Queries with equal codes are answered once. So a code that
@@ -15,6 +17,7 @@ a third of all rows have is one row on both sides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +27,12 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 K = 10
-SEGMENTS, WIDTH = 4, 16
-#: Rounds of (radius, segments): all values met after a round lie within the covered distance.
-_FIRST = 2
+
+
+def segment_widths(n: int) -> list[int]:
+    """Bits of each segment for an index of n codes: 4 x 16, then 22 + 21 + 21, then 2 x 32."""
+    m = 4 if n <= 1 << 18 else 3 if n <= 1 << 26 else 2
+    return [64 // m + (i < 64 % m) for i in range(m)]
 
 
 def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
@@ -49,26 +55,22 @@ def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
     return bits
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)]
+def _masks(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
 
 
-def _rounds() -> list[tuple[list[tuple[int, int]], int]]:
-    """([(segment, radius) probed], distance covered afterwards) for each round."""
-    first = [(seg, r) for r in range(_FIRST + 1) for seg in range(SEGMENTS)]
-    out = [(first, SEGMENTS * (_FIRST + 1) - 1)]
-    for r in range(_FIRST + 1, WIDTH + 1):
-        half = SEGMENTS // 2
-        if r == _FIRST + 1:
-            out.append(([(seg, r) for seg in range(SEGMENTS)], SEGMENTS * (r + 1) - 1))
-        else:
-            out.append(([(seg, r) for seg in range(half)], SEGMENTS * r + half - 1))
-            out.append(([(seg, r) for seg in range(half, SEGMENTS)], SEGMENTS * (r + 1) - 1))
-    return out
+def _rounds(widths: list[int]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """([(segment, radius) to probe], distance covered afterwards) for each round."""
+    m = len(widths)
+    yield [(seg, r) for r in (0, 1) for seg in range(m)], 2 * m - 1
+    for r in range(2, max(widths) + 1):
+        steps = [range(m)] if r < 4 else [range(m // 2), range(m // 2, m)]
+        for segs in steps:
+            yield [(seg, r) for seg in segs if r <= widths[seg]], m * r + segs[-1]
 
 
-def _segment(code: Column, seg: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * seg).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def _segment(code: Column, widths: list[int], seg: int) -> Column:
+    return F.shiftrightunsigned(code, sum(widths[:seg])).bitwiseAND(F.lit((1 << widths[seg]) - 1))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -89,20 +91,22 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
     )
     asked = queries.where("code IS NOT NULL AND id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q"))
+    size, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    enough, widths = min(k, total), segment_widths(size)
     index = cut(
         entries.select(
             "code", F.size("ids").alias("n"),
-            F.inline(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)])),
+            F.inline(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), widths, s).alias("v")) for s in range(len(widths))])),
         )
     )
     open_ = cut(asked.select("q").distinct().withColumn("worst", F.lit(64)))
     found, finished = None, None
-    for probes, covered in _rounds():
+    for probes, covered in _rounds(widths):
         parts = [
             open_.select(
                 "q", "worst", F.lit(seg).alias("seg"),
-                F.explode(F.array(*[F.lit(m) for m in _masks(r)])).alias("mask"),
-            ).select("q", "worst", "seg", _segment(F.col("q"), seg).bitwiseXOR(F.col("mask")).alias("v"))
+                F.explode(F.lit(_masks(widths[seg], r))).alias("mask"),
+            ).select("q", "worst", "seg", _segment(F.col("q"), widths, seg).bitwiseXOR(F.col("mask")).alias("v"))
             for seg, r in probes
         ]
         probe = parts[0]
@@ -126,8 +130,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         state = open_.select("q").join(
             best.groupBy("q").agg(F.sum("n").alias("got"), F.max("distance").alias("far")), "q", "left"
         )
-        worst = F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(64))
-        over = (F.coalesce(F.col("got") >= k, F.lit(False)) & (F.col("far") <= covered)) | F.lit(covered >= 64)
+        filled = F.coalesce(F.col("got") >= enough, F.lit(False))
+        worst = F.when(filled, F.col("far")).otherwise(F.lit(64))
+        # with every row met there is nothing left to find
+        over = (filled & ((F.col("far") <= covered) | F.lit(enough == total))) | F.lit(covered >= 64)
         state = cut(state.select("q", worst.alias("worst"), over.alias("over")))
         now = best.join(state.where("over").select("q"), "q", "left_semi")
         finished = now if finished is None else finished.unionByName(now)
@@ -148,3 +154,14 @@ def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.where("embedding IS NOT NULL").select(F.size("embedding")).first()
     codes = cut(rows.select(F.col("vec_id").alias("id"), binary_code(F.col("embedding"), first[0] if first else 64).alias("code")))
     return top_k(codes, codes.where("id % 20 = 0"))
+
+
+ORACLE_SQL = f"""
+WITH codes AS (
+  SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM codes q, codes c WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM ranked WHERE rank <= {K}
+"""
