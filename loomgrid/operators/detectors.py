@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, finite_or_null, flag, hour_of_week, no_nan
-from .windows import ordered, rolling, run_id, run_length, run_position, running
+from .windows import median, ordered, rolling, run_id, run_length, run_position, running
 
 MASKS = ("missing", "infinite", "negative", "outlier", "long_zero", "stuck", "level_shift")
 
@@ -52,8 +52,7 @@ class QualityConfig:
 def hour_of_week_profile(load: Column, weeks: int) -> Column:
     """Median of the previous ``weeks`` rows of the same entity and hour of the week, two at least."""
     slot = Window.partitionBy("building_id", hour_of_week(F.col("timestamp"))).orderBy(F.col("timestamp").asc_nulls_last())
-    frame = slot.rowsBetween(-weeks, -1)
-    return F.when(F.count(load).over(frame) >= 2, F.percentile(load, F.lit(0.5)).over(frame))
+    return median(load, slot.rowsBetween(-weeks, -1), 2)
 
 
 def _shifted(load: Column, level: Column, factor: float) -> Column:

@@ -18,7 +18,6 @@ _STATS = {
     "min": F.min,
     "max": F.max,
     "sum": F.sum,
-    "median": lambda c: F.percentile(c, F.lit(0.5)),
 }
 
 
@@ -31,9 +30,26 @@ def ordered(*keys: str | Column, time: str | Column = "timestamp") -> WindowSpec
 def rolling(c: Column, stat: str, window: int, min_periods: int, over: WindowSpec, shift: int = 0) -> Column:
     """Statistic of the ``window`` rows that end ``shift`` rows before the current one."""
     frame = over.rowsBetween(-(window - 1) - shift, -shift)
+    if stat == "median":
+        return median(c, frame, min_periods)
     return F.when(F.count(c).over(frame) >= min_periods, _STATS[stat](c).over(frame))
 
 
+def median(c: Column, frame: WindowSpec, min_periods: int) -> Column:
+    """Exact median over a short frame: its values sorted, then the middle ones.
+
+    The frame's list gives the count too, and costs less than half of
+    ``percentile`` over the same frame, which builds a hash map for every row.
+    """
+    values = F.sort_array(F.collect_list(c).over(frame))
+
+    def middle(a: Column) -> Column:
+        low, high = F.floor((F.size(a) - 1) / 2).cast("int"), F.floor(F.size(a) / 2).cast("int")
+        return F.when(F.size(a) >= min_periods, (F.get(a, low) + F.get(a, high)) / 2)
+
+    return F.get(F.transform(F.array(values), middle), F.lit(0))
+
+
 def feature_min_periods(window: int) -> int:
     return max(4, window // 4)
 
