@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..operators import features as FE
 from ..operators import models as M
 from ..operators import split, verify
 from ..schemas import CONDITIONS, FORECAST_KEYS, KEYS
-from ..sources import readers, sinks
+from ..sources import readers, reports, sinks
 from .onboarding import readers_condition, verify_bundle
 
 
@@ -138,7 +139,14 @@ def run(spark: SparkSession, bundle: str, config: str | dict[str, Any], output:
         df.write.mode("errorifexists").parquet(f"{output}/{name}")
         entries[name] = sinks.manifest_entry(spark.read.parquet(f"{output}/{name}"), name)
     result = {"schema_version": "1.0", "models": sorted(raw["models"]), "direct": direct, "source_digest": manifest["files"]["reference"]["content_sha256"], "files": entries}
+    result["source_revision"] = reports.source_revision()
     sinks.write_json(f"{output}/run_manifest.json", result)
+    small = {n: [r.asDict() for r in spark.read.parquet(f"{output}/{n}").collect()] for n in ("metrics", "paired", "narrative", "horizons") if n in tables}
+    Path(output, "report.md").write_text(reports.forecast_report(small), encoding="utf-8")
+    Path(output, "mae.svg").write_text(reports.bars(small["metrics"], "mae", "Mean absolute error"), encoding="utf-8")
+    Path(output, "mase.svg").write_text(reports.bars(small["metrics"], "mase", "Scaled error"), encoding="utf-8")
+    if "horizons" in small:
+        Path(output, "horizons.svg").write_text(reports.lines(small["horizons"], "horizon_hours", "mae", "Error by horizon"), encoding="utf-8")
     spark.catalog.clearCache()
     if bad := verify_results(spark, output, bundle):
         raise ValueError(f"the result does not verify: {bad}")

@@ -7,6 +7,7 @@ invariants and the writes. Conditions between them are cached or written once.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.detectors import QualityConfig, calibration_table
 from ..operators.panel import Selection, average_duplicates, contract, violations
 from ..operators.repair import quarantine, repair, repair_log
 from ..schemas import KEYS
-from ..sources import readers, sinks
+from ..sources import readers, reports, sinks
 
 
 class Blocked(RuntimeError):
@@ -138,7 +139,11 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
             "schema_version": "1.0", "timestamp_semantics": "wall clock, no zone conversion", "cutoff": config.cutoff, "seed": config.seed, "severity": config.severity,
             "buildings": got["buildings"], "exclusions": [list(x) for x in got["exclusions"]], "gate": verdict.asDict(), "repair": statuses, "files": entries,
         }
+        summary["source_revision"] = reports.source_revision()
         sinks.write_json(f"{output}/dataset_manifest.json", summary)
+        Path(output, "data_card.md").write_text(reports.data_card(summary), encoding="utf-8")
+        found = [r.asDict() for r in spark.read.parquet(f"{output}/detector_metrics").orderBy("fault_type").collect()]
+        Path(output, "report.md").write_text(reports.onboarding_report(summary, found), encoding="utf-8")
         return summary
     finally:
         spark.catalog.clearCache()

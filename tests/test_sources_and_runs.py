@@ -3,6 +3,7 @@ import json
 import math
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,8 @@ def test_onboarding_publishes_a_bundle_that_verifies(spark, bundle):
     assert summary["gate"]["status"] in ("pass", "warn") and summary["repair"].get("repaired", 0) > 0
     assert summary["gate"]["checks"] == 20
     assert onboarding.verify_bundle(spark, out) == []
+    card, report = (Path(out, n).read_text() for n in ("data_card.md", "report.md"))
+    assert "fault_keys" in card and "stuck_segment" in report
 
 
 def test_published_conditions_fail_closed(spark, bundle, tmp_path):
@@ -192,6 +195,8 @@ def test_forecast_of_a_bundle(spark, bundle, tmp_path, direct):
     metrics = spark.read.parquet(f"{out}/metrics").collect()
     assert len(metrics) == 6 and result["models"] == ["ridge", "seasonal_naive"]
     assert all(r["ci_low"] <= r["mae"] <= r["ci_high"] for r in metrics)
+    assert "ridge" in Path(out, "report.md").read_text() and Path(out, "mae.svg").read_text().startswith("<svg")
+    assert Path(out, "horizons.svg").exists() == direct
     if direct:
         assert spark.read.parquet(f"{out}/horizons").count() == 6 * 24
     assert forecasting.verify_results(spark, out, bundle[0]) == []
@@ -234,3 +239,17 @@ def test_cli_arguments():
 
     a = parser().parse_args(["forecast", "--bundle", "b", "--config", "c", "--output", "o"])
     assert (a.command, a.bundle) == ("forecast", "b")
+
+
+def test_reports():
+    import xml.dom.minidom
+
+    from loomgrid.sources import reports
+
+    rows = [{"model": "a<b", "condition": c, "mae": v, "h": h} for c, v in (("x", 1.0), ("y", None)) for h in (1, 2)]
+    for svg in (reports.bars(rows, "mae", "t & u"), reports.lines(rows, "h", "mae", "t"), reports.bars([], "mae", "none")):
+        xml.dom.minidom.parseString(svg)
+    assert reports.bars(rows, "mae", "t") == reports.bars(rows[::-1], "mae", "t")
+    text = reports.findings([{"model": "m", "corruption_effect": 0.5, "repair_effect": None, "recovery": "partial"}])
+    assert "+50.0 %" in text and "undefined" in text and "partial" in text
+    assert reports.source_revision() == reports.source_revision()
