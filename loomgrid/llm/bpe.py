@@ -31,13 +31,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, workers_can_import
+from .common import ready_workers, table
 
 #: How the byte-level pre-tokenizer splits text (fixed values of the public format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.json"
-KEEP_WORDS = 400_000
-KEEP_PAIRS = 1_000_000
+#: Entries of a generation; a worker keeps two at most.
+KEEP_WORDS = 250_000
+KEEP_PAIRS = 250_000
 
 
 def default_vocabulary() -> str:
@@ -52,20 +53,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """word -> its ids as packed little-endian 32-bit integers."""
+class _Recent(dict):
+    """A bounded memo in two generations: what was used since the last turn stays."""
 
-    def __init__(self, encode):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.encode = encode
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Words(_Recent):
+    """word -> its ids as packed little-endian 32-bit integers; very long words are not kept."""
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.encode(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        return super().__missing__(word) if len(word) <= 40 else self.make(word)
 
 
 class ByteBpe:
@@ -93,9 +103,10 @@ class ByteBpe:
                 self.automaton.add_word(v.decode("latin-1"), (i, len(v)))
         self.automaton.make_automaton()
         self.alone: dict[int, bool] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.words = _Words(self.encode_word)
-        self.pieces = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.span = max(self.bytes) + 1
+        self.follows = _Recent(self._seam, KEEP_PAIRS)
+        self.words = _Words(self._packed, KEEP_WORDS)
+        self.pieces = [self.bytes.get(i, b"") for i in range(self.span)]
 
     def _merged(self, data: bytes) -> list[int]:
         """BPE by its definition; only for single tokens of the vocabulary."""
@@ -128,24 +139,22 @@ class ByteBpe:
             else:
                 return True
 
+    def _seam(self, pair: int) -> bool:
+        a, b = divmod(pair, self.span)
+        return self._stands(b) and self._may_follow(a, b)
+
+    def _packed(self, word: str) -> bytes:
+        return np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
         last, length = [-1] * n, [0] * n
-        follows = self.follows
+        follows, span = self.follows, self.span
         for end, (token, size) in self.automaton.iter(word.decode("latin-1")):
             if last[end] >= 0:
                 continue
             start = end - size
-            if start < 0:
-                ok = self._stands(token)
-            else:
-                seam = last[start], token
-                ok = follows.get(seam)
-                if ok is None:
-                    ok = self._stands(token) and self._may_follow(*seam)
-                    if len(follows) >= KEEP_PAIRS:
-                        follows.clear()
-                    follows[seam] = ok
+            ok = self._stands(token) if start < 0 else follows[last[start] * span + token]
             if ok:
                 last[end], length[end] = token, size
         ids, at = [], n - 1
@@ -229,7 +238,7 @@ def encode(
     One row per row of ``docs``, null ids and repeated rows included. Null and
     empty texts have no ids. Columns that are not kept do not matter.
     """
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + [f"{c} {_TYPES[c][0]}" for c in columns])
     return own.mapInArrow(_run(vocabulary or default_vocabulary(), tuple(columns)), schema)

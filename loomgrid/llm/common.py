@@ -20,16 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Give Python workers the folder of this package, as the driver has it.
+#: Rows in an Arrow batch between Spark and Python; texts can be long.
+BATCH_ROWS = 1000
+
+
+def ready_workers(spark: SparkSession) -> None:
+    """Give Python workers the folder of this package, and texts in small batches.
 
     On a cluster the package is installed or sent with ``--py-files``; there
-    the extra path is simply empty.
+    the extra path is simply empty. A batch size that the user set stays.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, _ROOT])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
 
 
 def cut(df: DataFrame) -> DataFrame:

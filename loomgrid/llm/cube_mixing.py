@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, workers_can_import
+from .common import WORD, cut, ready_workers, table
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -90,13 +91,14 @@ def land(p: list[float], size: list[float], rng: random.Random) -> list[float]:
 
 
 def _fly(last: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "doc_id", "size"], kind="stable", na_position="first")
-        rng = random.Random(f"{rows['src'].iloc[0]}:{rows['block'].iloc[0]}:{rows['level'].iloc[0]}")
-        size = rows["size"].astype(float).tolist()
-        p = flight(rows["p"].tolist(), size, rng)
-        rows["p"] = land(p, size, rng) if last else p
-        return rows
+    def run(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")], null_placement="at_start")
+        rows = rows.take(order)
+        first = {c: rows[c][0].as_py() for c in ("src", "block", "level")}
+        rng = random.Random(f"{first['src']}:{first['block']}:{first['level']}")
+        size = [float(x) for x in rows["size"].to_pylist()]
+        p = flight(rows["p"].to_pylist(), size, rng)
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(land(p, size, rng) if last else p, pa.float64()))
 
     return run
 
@@ -152,7 +154,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source of its own, after all others. Copies of one row are decided each by
     itself. An empty table gives an empty result; other columns do not matter.
     """
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     src = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), words.alias("size")))
@@ -174,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     state = state.select(*fields)
     while blocks:
         last = blocks == 1
-        state = cut(state.groupBy("src", "block").applyInPandas(_fly(last), _FLIGHT))
+        state = cut(state.groupBy("src", "block").applyInArrow(_fly(last), _FLIGHT))
         if last:
             done.append(state)
             break

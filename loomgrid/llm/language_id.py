@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, unit_hash, workers_can_import
+from .common import held_out, ready_workers, table, unit_hash
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 DOCS_PER_LANG = 1500
 ALPHA = 0.5
 MAX_LANGS = 500
-PIECE = 1 << 19
+PIECE = 1 << 18
 UNDETERMINED = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -141,7 +141,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> Model:
     """Fit on about ``per_lang`` documents a language, none of the held-out fold."""
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     if no language was learnt. Ties go to the language that sorts first.
     Repeated rows and null ids are judged like any other.
     """
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + ["lang_pred string", "score double"])
     return own.mapInArrow(_predict(model), schema)
@@ -195,5 +195,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
     """Documents in a learnt language stay; those without letters or without a clear language go."""
-    named = identify(docs, fit(docs), keep=tuple(docs.columns))
-    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    numbered = [f"c{i}__" for i in range(len(docs.columns))]  # so that no column's name can clash
+    text = numbered[docs.columns.index("text")]
+    named = identify(docs.toDF(*numbered), fit(docs), keep=tuple(numbered), text_col=text)
+    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*numbered).toDF(*docs.columns)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, workers_can_import
+from .common import cut, ready_workers, table
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -71,7 +71,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_fingerprints, "doc_id long, fp long")
 
