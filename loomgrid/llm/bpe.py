@@ -249,5 +249,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the text's ids, ready to be packed."""
+    """doc_id, source, lang and the text's ids, ready to be packed.
+
+    One row per row; null and empty texts have no ids; an empty table stays
+    empty. Other columns are dropped.
+    """
     return encode(docs, ("n_tokens", "ids"), keep=("doc_id", "source", "lang"))

@@ -207,7 +207,12 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it (up to three times, or not at all).
+
+    Rows that share an id (null is one id too) all get the largest number of
+    copies decided for it. Null and empty texts weigh nothing and are drawn
+    like others; an empty table stays empty. Other columns may have any name.
+    """
     copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies__"))
     copies = copies.withColumnRenamed("doc_id", "id__")
     mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id__"]))

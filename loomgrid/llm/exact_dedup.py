@@ -101,7 +101,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of ``docs`` whose text is the first of its group; a null id never joins and stays."""
+    """Rows of ``docs`` whose text is the first of its group, with all their columns.
+
+    Null and empty texts are one group. A null id cannot be named as dropped
+    and stays; rows repeated with the keeper's id all stay; an empty table
+    stays empty. Other columns may have any name.
+    """
     dropped = exact_dedup(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
 

@@ -194,7 +194,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
-    """Documents in a learnt language stay; those without letters or without a clear language go."""
+    """Documents in a learnt language stay; those without letters or without a clear language go.
+
+    So null and empty texts go. Repeated rows and null ids are judged by their
+    text; with no language learnt nothing stays; an empty table stays empty.
+    Other columns may have any name.
+    """
     numbered = [f"c{i}__" for i in range(len(docs.columns))]  # so that no column's name can clash
     text = numbered[docs.columns.index("text")]
     named = identify(docs.toDF(*numbered), fit(docs), keep=tuple(numbered), text_col=text)

@@ -232,6 +232,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
+    """One document of each group stays: the one with the least id.
+
+    Null and empty texts are one group. A null id cannot be named as dropped
+    and stays; rows repeated with the keeper's id all stay; an empty table
+    stays empty. Other columns may have any name.
+    """
     dropped = near_dedup(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")

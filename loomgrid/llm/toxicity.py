@@ -7,8 +7,8 @@ The machine scores w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair of terms
 (an insult beside a group's name) can weigh more than its terms add up to. It
 is fitted on a bounded sample of labelled documents (``SAMPLE_POSITIVE`` and
 ``SAMPLE_NEGATIVE``, chosen by a hash of the id over all labelled rows and
-weighted back to the true shares) on the ``TERMS`` buckets that tell the classes
-apart best. Scoring sends the few fitted buckets to the workers and reads every
+weighted back to the true shares) on at most ``TERMS`` buckets that tell the
+classes apart best. Scoring sends the few fitted buckets to the workers and reads every
 text whole.
 """
 
@@ -21,21 +21,25 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table, unit_hash, workers_can_import
+from .common import cut, held_out, ready_workers, table, unit_hash
 
 BUCKETS = 1 << 18
-SAMPLE_POSITIVE = 4000
-SAMPLE_NEGATIVE = 8000
+SAMPLE_POSITIVE = 6000
+SAMPLE_NEGATIVE = 12000
 TERMS = 512
+#: Log-likelihood ratio below which a term tells nothing (p of about 1e-6; the buckets are many).
+LEAST_G = 24.0
+#: So many least buckets in common make two sampled rows copies of each other.
+ALIKE = 6
 FACTORS = 8
-EPOCHS = 40
+STEPS = 2500
 THRESHOLD = 0.3
 _TERM = re.compile(r"\w+")
-STEMS = (4, 5, 6)
-KEEP_TERMS = 300_000
+STEMS = (4, 5, 6, 7)
+KEEP_TERMS = 200_000
 
 
 def _hash(term: str) -> int:
@@ -78,20 +82,24 @@ class FactorizationMachine:
     def __init__(self, terms: np.ndarray, factors: int = FACTORS):
         self.terms = terms
         rng = np.random.default_rng(4)
-        self.w0, self.w, self.v = 0.0, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors))
+        self.w0, self.w, self.v = 0.0, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         s = x @ self.v
         return self.w0 + x @ self.w + 0.5 * (s * s - x @ (self.v * self.v)).sum(axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, l2: float = 1e-4):
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = 0.2, l2: float = 1e-5):
+        """Starts from half the log odds of each term, so that one telling term alone already counts."""
         rng = np.random.default_rng(44)
+        seen = [(weight * k) @ x + 0.5 for k in (y, 1 - y)]
+        whole = [(weight * k).sum() + 1 for k in (y, 1 - y)]
+        self.w = np.clip(0.5 * np.log((seen[0] / whole[0]) / (seen[1] / whole[1])), -3, 3)
         weight = weight / weight.mean()
         base = (weight * y).sum() / weight.sum()
         base = min(max(base, 1e-4), 1 - 1e-4)
         self.w0 = float(np.log(base / (1 - base)))
-        g0, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
-        for _ in range(epochs):
+        g0, gw, gv = 1e-2, np.full_like(self.w, 1e-2), np.full_like(self.v, 1e-2)
+        for _ in range(-(-steps * 256 // max(len(y), 1))):
             order = rng.permutation(len(y))
             for k in range(0, len(y), 256):
                 at = order[k : k + 256]
@@ -119,13 +127,22 @@ class FactorizationMachine:
         return out
 
 
+def _association(pos: float, neg: float) -> Column:
+    """Log-likelihood ratio of a term (in a positive and b negative documents) and the label."""
+    a, b, whole = F.col("a"), F.col("b"), pos + neg
+    part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * whole / (row * column))).otherwise(0.0)
+    with_, without = a + b, F.lit(whole) - a - b
+    cells = part(a, with_, F.lit(pos)) + part(b, with_, F.lit(neg)) + part(F.lit(pos) - a, without, F.lit(pos)) + part(F.lit(neg) - b, without, F.lit(neg))
+    return 2 * cells
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> FactorizationMachine:
     """Fit on a bounded sample of labelled documents outside the held-out fold.
 
     Several labels of one document count as its largest. Without labels the
     score is the same for all documents.
     """
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -135,14 +152,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Factori
     chosen = known.where(unit_hash(F.col("doc_id"), 4) < rate).withColumn("weight", 1 / rate)
     # about SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids, whatever the table's size
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = cut(text.select("y", "weight", "text").mapInArrow(_sparse, "y int, weight double, terms array<int>"))
+    sparse = text.select("y", "weight", "text").mapInArrow(_sparse, "y int, weight double, terms array<int>")
+    # copies of one text would make its rare words look telling: of rows with the same
+    # least buckets (near copies share them) one stays
+    alike = sparse.groupBy("y", F.slice("terms", 1, ALIKE).alias("least"))
+    rows = cut(alike.agg(F.min(F.struct("terms", "weight")).alias("row")).select("y", "row.*"))
     sums = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(
         F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")
     )
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    pos, neg = n.get(1, 0) + 1.0, n.get(0, 0) + 1.0
-    lift = F.log(((F.col("a") + 0.5) / pos) / ((F.col("b") + 0.5) / neg))
-    best = sums.where("a + b >= 3").orderBy(F.desc(F.abs(lift) * F.sqrt(F.col("a") + F.col("b"))), "t").limit(TERMS)
+    pos, neg = float(n.get(1, 0)), float(n.get(0, 0))
+    best = sums.withColumn("g", _association(pos, neg)).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "t").limit(TERMS)
     terms = np.array(sorted(r["t"] for r in best.select("t").collect()), np.int64)
     model = FactorizationMachine(terms)
     if not n:
@@ -175,7 +195,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     Null and empty texts get the score of a text without known terms. Repeated
     rows and null ids are scored like any other; other columns do not matter.
     """
-    workers_can_import(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(_score(model), "doc_id long, score double")
 
