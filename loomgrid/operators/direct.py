@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cyclic, plus_hours
@@ -84,24 +84,23 @@ def examples(panel: DataFrame, *, origin_hour: int = 23, weather: DataFrame | No
     return out
 
 
+def origin_ranges(rows: DataFrame) -> DataFrame:
+    """forecast_origin, low, high, targets: one small row an origin, whatever its number of entities."""
+    times = rows.select("forecast_origin", "target_timestamp").distinct()
+    return times.groupBy("forecast_origin").agg(
+        F.min("target_timestamp").alias("low"), F.max("target_timestamp").alias("high"), F.count(F.lit(1)).alias("targets")
+    )
+
+
 def origin_partitions(rows: DataFrame, split: Split) -> DataFrame:
     """``partition`` by the target times of the whole origin; origins across a boundary are left out of all."""
-    whole = Window.partitionBy("forecast_origin")
-    low, high = F.min("target_timestamp").over(whole), F.max("target_timestamp").over(whole)
-    distinct = F.size(F.collect_set("target_timestamp").over(whole))
     t, v, e = (F.lit(x).cast("timestamp_ntz") for x in (split.train_end, split.validation_end, split.test_end))
+    low, high = F.col("low"), F.col("high")
     label = (
-        F.when(distinct != HORIZONS, "excluded_incomplete_origin").when(high <= t, "train")
+        F.when(F.col("targets") != HORIZONS, "excluded_incomplete_origin").when(high <= t, "train")
         .when((low > t) & (high <= v), "validation").when((low > v) & (high <= e), "test").otherwise("excluded_boundary_straddle")
     )
-    return rows.withColumn("partition", label)
-
-
-def origin_ranges(rows: DataFrame) -> DataFrame:
-    """The same by aggregation: one small row an origin (better where an origin has very many entities)."""
-    return rows.groupBy("forecast_origin").agg(
-        F.min("target_timestamp").alias("low"), F.max("target_timestamp").alias("high"), F.count_distinct("target_timestamp").alias("targets")
-    )
+    return rows.join(origin_ranges(rows).select("forecast_origin", label.alias("partition")), "forecast_origin")
 
 
 def assert_cutoff(fault_cutoff: str, train_end: str) -> None:

@@ -92,58 +92,76 @@ def _numbered(panel: DataFrame, cutoff: str, length: int) -> DataFrame:
     )
 
 
+Intervals = list[tuple[int, int]]
+
+
+def _without(free: Intervals, low: int, high: int) -> Intervals:
+    """The sorted, inclusive intervals less [low, high]."""
+    out = []
+    for a, b in free:
+        if b < low or a > high:
+            out.append((a, b))
+            continue
+        if a < low:
+            out.append((a, low - 1))
+        if b > high:
+            out.append((high + 1, b))
+    return out
+
+
+def _nth(free: Intervals, n: int) -> int:
+    for a, b in free:
+        if n <= b - a:
+            return a + n
+        n -= b - a + 1
+    raise IndexError(n)
+
+
 class _Candidates:
-    """Uniform draws over the candidates of a panel, without drawn rows.
+    """Uniform draws over the candidates of a panel in (entity, position) order.
 
-    Keeps only per-entity counts and the positions taken so far. Free block
-    starts are those of the panel minus the few that touch a taken row.
+    The driver holds a count for each entity, and free intervals only of the
+    entities that a draw has touched; those are read once, as islands of
+    neighbouring block starts, so a draw runs one small job at most.
     """
 
     def __init__(self, rows: DataFrame, rng: np.random.Generator, length: int):
         self.rows, self.rng, self.length = rows, rng, length
         per = rows.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("starts_block").alias("s"))
         self.counts = {r["building_id"]: (r["n"], r["s"]) for r in per.orderBy("building_id").collect()}
-        self.taken: dict[str, set[int]] = {}
-        order = Window.partitionBy("building_id").orderBy("position")
-        self.starts = rows.where("starts_block").withColumn("start_no", F.row_number().over(order) - 1)
-
-    def single(self) -> tuple[str, int]:
-        free = {b: n - len(self.taken.get(b, ())) for b, (n, _) in self.counts.items()}
+        self.cells: dict[str, Intervals] = {}
+        self.starts: dict[str, Intervals] = {}
+
+    def _touch(self, b: str) -> None:
+        if b in self.cells:
+            return
+        island = F.col("position") - F.row_number().over(Window.partitionBy("building_id").orderBy("position"))
+        found = self.rows.where((F.col("building_id") == b) & F.col("starts_block")).withColumn("island", island)
+        ends = found.groupBy("island").agg(F.min("position").alias("a"), F.max("position").alias("z")).orderBy("a")
+        self.starts[b] = [(r["a"], r["z"]) for r in ends.collect()]
+        self.cells[b] = [(0, self.counts[b][0] - 1)]
+
+    def _draw(self, which: int, known: dict[str, Intervals], size: int) -> tuple[str, int]:
+        free = {b: sum(z - a + 1 for a, z in known[b]) if b in known else c[which] for b, c in self.counts.items()}
         total = sum(free.values())
         if total < 1:
-            raise ValueError("not enough readings before the cutoff for the fault suite")
+            raise ValueError(f"not enough readings before the cutoff for a fault of {size} rows")
         choice = int(self.rng.integers(0, total))
         for b, n in free.items():
             if choice < n:
-                at = choice
-                for t in sorted(self.taken.get(b, ())):
-                    at += t <= at
-                self.taken.setdefault(b, set()).add(at)
-                return b, at
+                break
             choice -= n
-        raise AssertionError("draw beyond the candidates")
+        self._touch(b)
+        at = _nth(known[b], choice)
+        self.cells[b] = _without(self.cells[b], at, at + size - 1)
+        self.starts[b] = _without(self.starts[b], at - self.length + 1, at + size - 1)
+        return b, at
+
+    def single(self) -> tuple[str, int]:
+        return self._draw(0, self.cells, 1)
 
     def block(self) -> tuple[str, int]:
-        touched = {}
-        for b, taken in self.taken.items():
-            near = {p for t in taken for p in range(t - self.length + 1, t + 1) if p >= 0}
-            found = self.starts.where((F.col("building_id") == b) & F.col("position").isin(*near)) if near else None
-            touched[b] = sorted(r["start_no"] for r in found.select("start_no").collect()) if found is not None else []
-        free = {b: s - len(touched.get(b, ())) for b, (_, s) in self.counts.items()}
-        total = sum(free.values())
-        if total < 1:
-            raise ValueError(f"not enough contiguous readings before the cutoff for a block of {self.length}")
-        choice = int(self.rng.integers(0, total))
-        for b, n in free.items():
-            if choice < n:
-                no = choice
-                for t in touched.get(b, ()):
-                    no += t <= no
-                at = self.starts.where((F.col("building_id") == b) & (F.col("start_no") == no)).first()["position"]
-                self.taken.setdefault(b, set()).update(range(at, at + self.length))
-                return b, at
-            choice -= n
-        raise AssertionError("draw beyond the candidates")
+        return self._draw(1, self.starts, self.length)
 
 
 def draw_plan(panel: DataFrame, *, cutoff: str, seed: int, severity: str = "medium", events_per_type: int | Mapping[str, int] = 1, suite: str = DOWNSTREAM) -> DataFrame:

@@ -81,3 +81,22 @@ def test_bad_counts(bad):
 def test_too_short_for_a_block(panel_of):
     with pytest.raises(ValueError):
         FA.inject(panel_of({"a": [1.0, 2.0, 3.0, 4.0, 5.0]}), cutoff=CUT, seed=1)
+
+
+def test_draws_are_uniform_over_what_is_free(spark, panel_of):
+    """Intervals on the driver equal a list of all candidates with the taken ones struck out."""
+    import numpy as np
+
+    xs = [float(i % 9 + 1) if i % 37 else 0.0 for i in range(300)]
+    panel = panel_of({"a": xs, "b": xs[:100], "c": [1.0] * 7})
+    rows = FA._numbered(panel, CUT, 4).persist()
+    pick, rng = FA._Candidates(rows, np.random.default_rng(4), 4), np.random.default_rng(4)
+    known = sorted((r["building_id"], r["position"], r["starts_block"]) for r in rows.collect())
+    cells, starts = [(b, p) for b, p, _ in known], [(b, p) for b, p, ok in known if ok]
+    taken = set()
+    for k in range(40):
+        size, pool = (1, cells) if k % 2 else (4, starts)
+        free = [(b, p) for b, p in pool if not any((b, p + i) in taken for i in range(size))]
+        want = free[int(rng.integers(0, len(free)))]
+        assert (pick.single() if size == 1 else pick.block()) == want
+        taken |= {(want[0], want[1] + i) for i in range(size)}
