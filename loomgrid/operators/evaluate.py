@@ -102,6 +102,12 @@ def subgroup_metrics(predictions: DataFrame, scale: float | None) -> DataFrame:
     )
 
 
+def by_subgroup(rows: DataFrame) -> DataFrame:
+    """Each row once for its site, use, entity and quarter, as group_dimension and group_value."""
+    values = {"site_id": F.col("site_id"), "primary_use": F.col("primary_use"), "building_id": F.col("building_id"), "quarter": quarter_label(F.col("timestamp"))}
+    return rows.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("group_dimension"), v.alias("group_value")) for k, v in values.items()])))
+
+
 def entity_mase(predictions: DataFrame, scales: DataFrame, by: Sequence[str] = ("condition", "model")) -> DataFrame:
     """Per entity: n, mae, its training scale and mase; undefined ones stay as null."""
     ok = is_finite(F.col("target")) & is_finite(F.col("prediction"))

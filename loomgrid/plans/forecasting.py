@@ -51,6 +51,17 @@ def _training(panel: DataFrame, s: split.Split) -> DataFrame:
     return panel.where(F.col("timestamp") <= F.lit(s.train_end).cast("timestamp_ntz"))
 
 
+PAIR = ["condition", "model"]
+
+
+def _interval(raw: dict[str, Any], rows: DataFrame, value: str, by: Sequence[str], by_index: bool = False) -> DataFrame:
+    """Row intervals: exact resampling of gathered groups, or for large groups ``"bootstrap": "poisson"``."""
+    reps, seed = int(raw["bootstrap_repetitions"]), int(raw["seed"])
+    if raw.get("bootstrap", "exact") == "poisson":
+        return B.poisson_bootstrap(rows, value, by, [*KEYS, "model"], reps, seed)
+    return B.row_bootstrap(rows, value, by, KEYS, reps, seed, by_index)
+
+
 def fixed_horizon(frames: dict[str, DataFrame], raw: dict[str, Any], weather: DataFrame | None = None) -> dict[str, DataFrame]:
     """predictions, metrics, entity_mase, macro_mase, subgroups, paired, retained, narrative."""
     config = _model_config(raw)
@@ -69,9 +80,9 @@ def fixed_horizon(frames: dict[str, DataFrame], raw: dict[str, Any], weather: Da
     long = E.common_keys(E.attach_targets(long, frames["reference"]), len(parts)).persist()
     train = _training(frames["reference"], s)
     scale = E.pooled_scale(train).first()[0]
-    reps, seed = int(raw["bootstrap_repetitions"]), int(raw["seed"])
     errors = long.withColumn("error", F.abs(F.col("prediction") - F.col("target")))
-    metrics = E.metrics(long, scale).join(B.row_bootstrap(errors, "error", ["condition", "model"], KEYS, reps, seed), ["condition", "model"])
+    groups = [*PAIR, "group_dimension", "group_value"]
+    metrics = E.metrics(long, scale).join(_interval(raw, errors, "error", PAIR), PAIR)
     conditions = None
     for c, f in frames.items():
         f = f.select(*KEYS, "load").withColumn("condition", F.lit(c))
@@ -81,8 +92,8 @@ def fixed_horizon(frames: dict[str, DataFrame], raw: dict[str, Any], weather: Da
     entity = E.entity_mase(long, E.entity_scales(train))
     return {
         "predictions": long, "metrics": metrics.join(retained, "condition"), "entity_mase": entity, "macro_mase": E.macro_mase(entity),
-        "subgroups": E.subgroup_metrics(long, scale),
-        "paired": E.paired_difference(paired).join(B.row_bootstrap(paired, "difference", ["model"], KEYS, reps, seed, by_index=True), "model"),
+        "subgroups": E.subgroup_metrics(long, scale).join(_interval(raw, E.by_subgroup(errors), "error", groups), groups),
+        "paired": E.paired_difference(paired).join(_interval(raw, paired, "difference", ["model"], by_index=True), "model"),
         "narrative": E.narrative(metrics),
     }
 

@@ -191,7 +191,7 @@ FORECAST = {"models": ["seasonal_naive", "ridge"], "seed": 42, "bootstrap_repeti
 @pytest.mark.parametrize("direct", [False, True])
 def test_forecast_of_a_bundle(spark, bundle, tmp_path, direct):
     out = str(tmp_path / "result")
-    result = forecasting.run(spark, bundle[0], FORECAST | {"feature_set": "v2"}, out, direct=direct)
+    result = forecasting.run(spark, bundle[0], FORECAST | {"feature_set": "v2", "bootstrap_repetitions": 30}, out, direct=direct)
     metrics = spark.read.parquet(f"{out}/metrics").collect()
     assert len(metrics) == 6 and result["models"] == ["ridge", "seasonal_naive"]
     assert all(r["ci_low"] <= r["mae"] <= r["ci_high"] for r in metrics)
@@ -199,6 +199,9 @@ def test_forecast_of_a_bundle(spark, bundle, tmp_path, direct):
     assert Path(out, "horizons.svg").exists() == direct
     if direct:
         assert spark.read.parquet(f"{out}/horizons").count() == 6 * 24
+    else:
+        subgroups = spark.read.parquet(f"{out}/subgroups")
+        assert subgroups.where("ci_low <= mae AND mae <= ci_high").count() == subgroups.count() == 6 * (3 + 2 + 3 + 1)
     assert forecasting.verify_results(spark, out, bundle[0]) == []
     forged = spark.read.parquet(f"{out}/metrics").withColumn("mae", F.col("mae") + 1).collect()
     types = spark.read.parquet(f"{out}/metrics").schema
