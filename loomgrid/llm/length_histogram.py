@@ -5,8 +5,8 @@ sums on the map side make one row a length and task, so no key is hot. Suffix
 sums over the lengths then answer, for every context limit that is some
 document's length, how many documents and tokens fit, what truncation leaves
 and where the limit lies among the quantiles. Suffix sums go in two steps
-(within a span of ``SPAN`` lengths, and over the spans) so that no single task
-has to order all lengths.
+(within a span of ``SPAN`` lengths, and over the spans): the one task that orders
+the spans sees a row for every ``SPAN`` tokens of the longest document at most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .common import cut, table
 
-SPAN = 1024
+SPAN = 64
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def limits(hist: DataFrame) -> DataFrame:
         F.sum("d").over(whole).alias("d_all"), F.sum("t").over(whole).alias("t_all"),
     )
     longer = Window.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    got = rows.join(F.broadcast(spans), "span").select(
+    got = rows.join(spans, "span").select(
         F.col("n_tokens").alias("context_limit"), "docs",
         (F.coalesce(F.sum("docs").over(longer), F.lit(0)) + F.col("d_after")).alias("docs_over"),
         (F.coalesce(F.sum("tokens").over(longer), F.lit(0)) + F.col("t_after")).alias("tokens_over"),
