@@ -130,7 +130,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         state = open_.select("q").join(
             best.groupBy("q").agg(F.sum("n").alias("got"), F.max("distance").alias("far")), "q", "left"
         )
-        filled = F.coalesce(F.col("got") >= enough, F.lit(False))
+        filled = F.coalesce("got", F.lit(0)) >= enough
         worst = F.when(filled, F.col("far")).otherwise(F.lit(64))
         # with every row met there is nothing left to find
         over = (filled & ((F.col("far") <= covered) | F.lit(enough == total))) | F.lit(covered >= 64)
