@@ -120,24 +120,27 @@ def _issues(counted: DataFrame, codes: list[tuple], source: str) -> DataFrame:
     return counted.select(F.inline(F.array(*made)))
 
 
-def first_samples(flags: DataFrame, codes: list[str], columns: list[str]) -> DataFrame:
-    """code, sample: the first SAMPLE violating rows of each check.
+def violations_by_code(flags: DataFrame, codes: list[str], columns: list[str]) -> DataFrame:
+    """code, hits, sample: how many rows violate each check, and the first SAMPLE of them.
 
-    Ranked within salted parts first, so that no window holds all violations of
-    a check that many rows violate.
+    One pass over the flags, which are costly: counted and ranked within salted
+    parts first, so that no window holds all violations of a check that many
+    rows violate.
     """
     entry = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
     hits = flags.select(
         "timestamp", "building_id", entry.alias("entry"),
         F.explode(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in codes]))).alias("code"),
+        F.pmod(F.xxhash64("building_id", "timestamp"), F.lit(32)).alias("salt"),
     )
     by = [F.col("timestamp").asc_nulls_first(), F.col("building_id").asc_nulls_first()]
-    salted = Window.partitionBy("code", F.pmod(F.xxhash64("building_id", "timestamp"), F.lit(32))).orderBy(*by)
-    whole = Window.partitionBy("code").orderBy(*by)
-    top = hits.withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= SAMPLE)
-    top = top.withColumn("rn", F.row_number().over(whole)).where(F.col("rn") <= SAMPLE)
+    part = Window.partitionBy("code", "salt")
+    top = hits.withColumns({"rn": F.row_number().over(part.orderBy(*by)), "n": F.count(F.lit(1)).over(part)}).where(F.col("rn") <= SAMPLE)
+    top = top.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(*by)))
+    first = F.collect_list(F.when(F.col("place") <= SAMPLE, F.struct("place", "entry")))
     return top.groupBy("code").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "entry")), lambda a, b: a["rn"] - b["rn"]), lambda x: x["entry"]).alias("sample")
+        F.sum(F.when(F.col("rn") == 1, F.col("n"))).alias("hits"),
+        F.transform(F.array_sort(first, lambda x, y: x["place"] - y["place"]), lambda x: x["entry"]).alias("sample"),
     )
 
 
@@ -179,13 +182,21 @@ def quality_checks(panel: DataFrame, config: QualityConfig | None = None, *, sou
             )],
             ISSUE,
         )
-    codes = list(ROW_CHECKS)
     flags = row_flags(panel, config, order_by)
-    counts = flags.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(f"{c}_n") for c in codes])
-    counts = counts.withColumns({f"{c}_d": F.col("rows") for c in codes})
-    samples = first_samples(flags, codes, ["building_id", "timestamp", "load", "site_id", "primary_use"])
-    specs = [(c, check, severity, repairable, columns, _rule(c, config), action) for c, (check, severity, repairable, columns, action) in ROW_CHECKS.items()]
-    issues = _issues(counts.withColumns({f"{c}_s": F.lit(None).cast("array<map<string,string>>") for c in codes}), specs, source)
+    found = violations_by_code(flags, list(ROW_CHECKS), ["building_id", "timestamp", "load", "site_id", "primary_use"])
+    specs = spark.createDataFrame(
+        [(c, check, severity, repairable, columns, _rule(c, config), action) for c, (check, severity, repairable, columns, action) in ROW_CHECKS.items()],
+        "code string, check string, severity string, repairable boolean, columns array<string>, expected_rule string, action string",
+    )
+    names = [f.split()[0] for f in ISSUE.split(", ")]
+    none = F.array().cast("array<map<string,string>>")
+    rows = panel.groupBy().agg(F.count(F.lit(1))).scalar()
+    issues = specs.join(found, "code", "left").withColumns(
+        {"count": F.coalesce("hits", F.lit(0)), "denominator": rows, "source_condition": F.lit(source), "sample": F.coalesce("sample", none)}
+    )
+    issues = issues.withColumns(
+        {"status": F.when(F.col("count") > 0, F.col("severity")).otherwise("pass"), "rate": F.col("count") / F.greatest("denominator", F.lit(1))}
+    ).select(*names)
     holes = gaps(panel, config.frequency_hours).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("INTERVAL_CONTINUITY_GAP_n"))
     holes = holes.withColumns(
         {
@@ -202,8 +213,7 @@ def quality_checks(panel: DataFrame, config: QualityConfig | None = None, *, sou
         }
     )
     unstable = _issues(unstable, [("SUBGROUP_METADATA_INSTABILITY", "stable subgroup metadata per building", "fail", False, ["building_id", "site_id", "primary_use", "timezone"], "each building maps to one site, primary use and time zone", "stop_publication_and_review_metadata")], source)
-    everything = issues.unionByName(holes).unionByName(unstable).drop("sample")
-    return everything.join(samples, "code", "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<map<string,string>>"))).select(*[f.split()[0] for f in ISSUE.split(", ")])
+    return issues.unionByName(holes.withColumn("sample", none)).unionByName(unstable.withColumn("sample", none))
 
 
 def _rule(code: str, config: QualityConfig) -> str:
