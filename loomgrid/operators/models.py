@@ -26,7 +26,7 @@ class ModelConfig:
     n_trees: int = 200
     min_leaf: int = 5
     max_features: float = 0.5
-    forest_depth: int = 15
+    forest_depth: int = 30  # MLlib's limit; the reference has none
     ridge_alpha: float = 1.0
 
 

@@ -334,8 +334,7 @@ def _fit(name):
     def run(spark, d):
         df = FE.build(value_panel(spark, d), feature_set="v2", check=False)
         cut = F.lit(CUTOFF).cast("timestamp_ntz")
-        config = M.ModelConfig(max_iter=10, n_trees=10, forest_depth=8)
-        return M.fit_predict(df.where(F.col("timestamp") < cut), df.where(F.col("timestamp") >= cut), name, config, FE.numeric_columns("v2"))
+        return M.fit_predict(df.where(F.col("timestamp") < cut), df.where(F.col("timestamp") >= cut), name, M.ModelConfig(), FE.numeric_columns("v2"))
 
     run.__name__ = f"{name}_fit"
     return run

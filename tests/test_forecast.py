@@ -192,3 +192,17 @@ def test_naive_and_unknown_categories(panel):
     assert naive.where("prediction IS NULL").isEmpty()
     got = M.fit_predict(train, test, "random_forest", M.ModelConfig(n_trees=3, forest_depth=4), FE.numeric_columns())
     assert got.count() == test.count() and got.where("prediction IS NULL OR isnan(prediction)").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["hist_gradient_boosting", "random_forest"])
+def test_registered_fits_are_not_cut(spark, monkeypatch, name):
+    from loomgrid.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(M, "fit_predict", lambda train, test, model, config, numeric: seen.append(M.estimator(model, config, 1, 1.0)))
+    catalog.QUERIES[f"{name}_fit"](spark, "/root/testdata/sf0.001")
+    (got,) = seen
+    if name == "random_forest":
+        assert (got.getNumTrees(), got.getMaxDepth(), got.getMinInstancesPerNode()) == (200, 30, 5)
+    else:
+        assert (got.getMaxIter(), got.getStepSize(), got.getMaxDepth()) == (120, 0.07, 5)
