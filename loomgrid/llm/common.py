@@ -55,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str = "mark") -> str:
+    """A column name that ``df`` does not have."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that nothing is learnt from; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import SPACES, cut, free_name, table
 
 SALTS = 16
 
@@ -104,11 +104,14 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows of ``docs`` whose text is the first of its group, with all their columns.
 
     Null and empty texts are one group. A null id cannot be named as dropped
-    and stays; rows repeated with the keeper's id all stay; an empty table
+    and stays; rows repeated with the keeper's id all stay, and an id that
+    stands on several texts loses only those that are dropped; an empty table
     stays empty. Other columns may have any name.
     """
-    dropped = exact_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    mark = free_name(docs)
+    dropped = exact_dedup(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias(mark)).distinct()
+    marked = docs.withColumn(mark, F.sha2(normalised(F.col("text")), 256))
+    return marked.join(dropped, ["doc_id", mark], "left_anti").drop(mark)
 
 
 ORACLE_SQL = r"""

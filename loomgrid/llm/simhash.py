@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ready_workers, table
+from .common import cut, free_name, ready_workers, table
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -66,14 +66,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             values = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) for each row; and ``carry``, a string, as carried."""
     ready_workers(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("carried")]))
+    return own.mapInArrow(_fingerprints, "doc_id long, fp long" + ("" if carry is None else ", carried string"))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -203,15 +203,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row of ``docs``.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry: Column | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of ``docs``; and ``carry``, a string, as carried.
 
     Null and empty texts have the fingerprint zero and are linked like any
     other. Repeated rows share a fingerprint and so a component. The component
     id is the least id in the component; a component with null ids only has a
     null component id. Other columns do not matter.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, carry))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     label = components(links(prints, max_bits))
     linked = nodes.join(label, F.col("fp") == F.col("node"), "left").select(
@@ -224,6 +224,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("hit"), F.col("known")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([] if carry is None else ["carried"]),
     )
 
 
@@ -235,8 +236,14 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group stays: the one with the least id.
 
     Null and empty texts are one group. A null id cannot be named as dropped
-    and stays; rows repeated with the keeper's id all stay; an empty table
+    and stays; rows repeated with the keeper's id all stay, and an id that
+    stands on several texts loses only those that are dropped; an empty table
     stays empty. Other columns may have any name.
     """
-    dropped = near_dedup(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    mark = free_name(docs)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    dropped = (
+        near_dedup(docs.select("doc_id", "text"), carry=digest).where("doc_id <> component_id")
+        .select("doc_id", F.col("carried").alias(mark)).distinct()
+    )
+    return docs.withColumn(mark, digest).join(dropped, ["doc_id", mark], "left_anti").drop(mark)

@@ -236,3 +236,13 @@ def test_pipeline_of_odd_and_no_rows(spark, odd, no_docs):
 def test_null_ids_survive_dedup(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "c d"), (None, "e f")], "doc_id long, text string")
     assert exact_dedup.stage_exact_dedup(spark, df, "").count() == 4
+
+
+def test_an_id_on_two_texts_loses_only_the_dropped_one(spark):
+    a, b = " ".join(f"left{i}" for i in range(80)), " ".join(f"right{i}" for i in range(80))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, a)], "doc_id long, text string").withColumn("mark", F.lit("own"))
+    want = sorted([(3, a, "own"), (5, b, "own"), (5, b, "own"), (None, a, "own")], key=str)
+    for stage in (exact_dedup.stage_exact_dedup, simhash.stage_near_dedup):
+        got = stage(spark, df, "")
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == want
