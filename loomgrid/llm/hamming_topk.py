@@ -36,7 +36,7 @@ def segment_widths(n: int) -> list[int]:
 
 
 def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
-    """64 signs as a long; null components and missing ones count as 0 (sign off)."""
+    """64 signs as a long; null components and missing ones count as 0 (sign off). A null embedding has no code."""
     bits = F.lit(0).cast("long")
     if dims == 64:
         values = [F.get(embedding, F.lit(i)) for i in range(64)]
@@ -52,7 +52,7 @@ def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
     for i, v in enumerate(values):
         one = F.lit(1 << i if i < 63 else -(1 << 63))
         bits = bits.bitwiseOR(F.when(v > 0, one).otherwise(F.lit(0).cast("long")))
-    return bits
+    return F.when(embedding.isNotNull(), bits)
 
 
 def _masks(width: int, radius: int) -> np.ndarray:
@@ -151,8 +151,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    first = rows.where("embedding IS NOT NULL").select(F.size("embedding")).first()
-    codes = cut(rows.select(F.col("vec_id").alias("id"), binary_code(F.col("embedding"), first[0] if first else 64).alias("code")))
+    widest = rows.where("embedding IS NOT NULL").agg(F.max(F.size("embedding"))).first()[0]
+    codes = cut(rows.select(F.col("vec_id").alias("id"), binary_code(F.col("embedding"), 64 if widest is None else widest).alias("code")))
     return top_k(codes, codes.where("id % 20 = 0"))
 
 

@@ -246,3 +246,19 @@ def test_an_id_on_two_texts_loses_only_the_dropped_one(spark):
         got = stage(spark, df, "")
         assert got.columns == df.columns
         assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_null_embeddings_are_no_neighbours(spark, tmp_path):
+    rows = [(i, [-1.0 if j == i else 1.0 for j in range(64)]) for i in (*range(1, 10), 20)] + [(i, None) for i in (*range(10, 15), 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["op6_hamming_topk"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {20} and {r["vec_id"] for r in got} == {*range(1, 10), 20}
+
+
+def test_width_is_that_of_the_widest_row(spark, tmp_path):
+    one = [1.0] * 64
+    rows = [(1, one), (20, one + [0.0] * 64), (3, one + [0.3] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["distance"] for r in QUERIES["op6_hamming_topk"](spark, str(tmp_path)).collect()}
+    assert got[20] == 0 and got[3] > 0
