@@ -313,21 +313,25 @@ def horizon_metrics(spark, d):
 
 # not expressible in SQL ----------------------------------------------------
 
+#: Draws of every registered bootstrap, as the reference configures.
+REPETITIONS = 500
+
+
 @query()
 def bootstrap_ci(spark, d):
     rows = E.paired_rows(predictions(spark, d))
-    return B.row_bootstrap(rows, "difference", ["model"], list(_KEY), 50, 42, by_index=True)
+    return B.row_bootstrap(rows, "difference", ["model"], list(_KEY), REPETITIONS, 42, by_index=True)
 
 
 @query()
 def block_bootstrap_ci(spark, d):
     rows = E.paired_rows(predictions(spark, d)).withColumn("block", week_block(F.col("building_id"), F.col("timestamp")))
-    return B.block_bootstrap(rows, "difference", "block", ["model"], 200, 42)
+    return B.block_bootstrap(rows, "difference", "block", ["model"], REPETITIONS, 42)
 
 
 @query()
 def poisson_bootstrap_ci(spark, d):
-    return B.poisson_bootstrap(E.paired_rows(predictions(spark, d)), "difference", ["model"], [*_KEY, "model"], 50, 42)
+    return B.poisson_bootstrap(E.paired_rows(predictions(spark, d)), "difference", ["model"], [*_KEY, "model"], REPETITIONS, 42)
 
 
 def _fit(name):

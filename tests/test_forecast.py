@@ -206,3 +206,15 @@ def test_registered_fits_are_not_cut(spark, monkeypatch, name):
         assert (got.getNumTrees(), got.getMaxDepth(), got.getMinInstancesPerNode()) == (200, 30, 5)
     else:
         assert (got.getMaxIter(), got.getStepSize(), got.getMaxDepth()) == (120, 0.07, 5)
+
+
+@pytest.mark.parametrize("name, form", [("bootstrap_ci", "row_bootstrap"), ("block_bootstrap_ci", "block_bootstrap"), ("poisson_bootstrap_ci", "poisson_bootstrap")])
+def test_registered_bootstraps_draw_500_times(spark, monkeypatch, name, form):
+    import inspect
+
+    from loomgrid.plans import catalog
+
+    seen, own = [], inspect.signature(getattr(B, form))
+    monkeypatch.setattr(B, form, lambda *a, **k: seen.append(own.bind(*a, **k).arguments["repetitions"]))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [500]
