@@ -9,7 +9,9 @@
 Every stage groups by the content itself beside its digest, so two contents
 that share a digest are never merged. Rows get their group back by a join on
 the digest with groups of two or more; digests with several contents (none are
-known for SHA-256; tests use a weak digest) go by content.
+known for SHA-256; tests use a weak digest) go by content. Groups that hold over
+1 / ``HOT_SHARE`` of all rows (fewer than ``HOT_SHARE``, by counting) are
+broadcast, so the rows of a hot digest stay spread over all tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, free_name, table
+from .common import HOT_SHARE, LEAST_HOT, SPACES, cut, free_name, keep_one_of_repeats, left_join_hot, table
 
 SALTS = 16
 
@@ -40,7 +42,7 @@ def exact_dedup(
     Null text counts as empty; texts that differ only in runs of white space
     are equal. The smallest id of a group stays. A null id is kept only if its
     group has no other id; rows repeated with the keeper's id are all marked
-    kept, as they are one document. An empty table gives an empty result.
+    kept, as they are one document (the stage keeps one row of them). An empty table gives an empty result.
     Other columns of ``docs`` are not looked at, whatever their names.
     """
     rows = docs.select(
@@ -65,11 +67,12 @@ def exact_dedup(
         )
         .where("contents > 1 OR n > 1")
     )
-    clean, clash = groups.where("contents = 1"), groups.where("contents > 1")
+    clean, clash = groups.where("contents = 1").select("digest", "keep", "n"), groups.where("contents > 1")
+    # every row of a group counts, so fewer than HOT_SHARE groups pass
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = clean.where(F.col("n") > max(LEAST_HOT, total / HOT_SHARE))
     if clash.isEmpty():
-        got = rows.select("id", "content", "digest").join(
-            clean.select("digest", "keep", "n"), "digest", "left"
-        )
+        got = left_join_hot(rows.select("id", "digest"), clean, "digest", hot)
     else:
         by_content = (
             rows.join(clash.select("digest"), "digest", "left_semi")
@@ -77,12 +80,10 @@ def exact_dedup(
             .agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
         )
         got = (
-            rows.join(clash.select("digest"), "digest", "left_anti")
-            .join(clean.select("digest", "keep", "n"), "digest", "left")
+            left_join_hot(rows.join(clash.select("digest"), "digest", "left_anti").select("id", "digest"), clean, "digest", hot)
             .unionByName(
-                rows.join(clash.select("digest"), "digest", "left_semi").join(
-                    by_content, ["digest", "content"]
-                )
+                rows.join(clash.select("digest"), "digest", "left_semi")
+                .join(by_content, ["digest", "content"]).select("id", "digest", "keep", "n")
             )
         )
     alone = F.col("n").isNull()
@@ -101,17 +102,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of ``docs`` whose text is the first of its group, with all their columns.
+    """One row of each group of equal texts, with all its columns: that with the least id.
 
-    Null and empty texts are one group. A null id cannot be named as dropped
-    and stays; rows repeated with the keeper's id all stay, and an id that
-    stands on several texts loses only those that are dropped; an empty table
-    stays empty. Other columns may have any name.
+    Null and empty texts are one group. A row with a null id stays only if no
+    row of its group has an id. An id that stands on several texts loses only
+    those that are dropped; of rows repeated with the keeper's id the least text
+    stays. An empty table stays empty. Other columns may have any name.
     """
     mark = free_name(docs)
-    dropped = exact_dedup(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias(mark)).distinct()
+    groups = exact_dedup(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias(mark), "kept")
+    groups = cut(groups.groupBy("doc_id", mark, "kept").count())
+    dropped = groups.where("NOT kept")
     marked = docs.withColumn(mark, F.sha2(normalised(F.col("text")), 256))
-    return marked.join(dropped, ["doc_id", mark], "left_anti").drop(mark)
+    left = marked.join(dropped, marked["doc_id"].eqNullSafe(dropped["doc_id"]) & (marked[mark] == dropped[mark]), "left_anti")
+    return keep_one_of_repeats(left, "doc_id", mark, groups.where("kept AND count > 1").select("doc_id", mark)).drop(mark)
 
 
 ORACLE_SQL = r"""
