@@ -6,16 +6,21 @@ Hamming distance of the fingerprints, so fingerprints within ``MAX_BITS`` = 4
 bits lie within Manhattan distance 4. The counts are stored as unary codes in
 one long, where Manhattan distance is the bit count of an XOR.
 
-The grid has eight axes groups of four segments each. Vectors within distance
-4 differ in at most four groups, so they share a grid cell in at least one of
-the 70 projections to four groups: each distinct fingerprint goes to its 70
-cells, which makes a bucket join without misses. Within a bucket the Manhattan
-bound is tested first and then the exact Hamming distance. A bucket gives back
-the links of a spanning tree of its members, not all pairs: a search from each
-unvisited member looks only at members not yet reached, so a dense group of
-copies costs about its size, and members of different groups that fall into one
-cell are compared exactly. Any chain of links survives this, so the connected
-components are those of all links.
+The grid has G groups of axes (segments), G from 5 to 8 as the table grows
+(``axis_groups``). Vectors within distance 4 differ in at most four groups, so
+they share a grid cell in at least one of the projections to G - 4 groups (5, 15,
+35 or 70 cells for each distinct fingerprint): the range join becomes a join by
+cells without misses. Within a cell the Manhattan bound is tested first and then
+the exact Hamming distance. A cell of over ``SMALL`` members gives back the links
+of a spanning tree, not all pairs: a search from each unvisited member looks only at
+members not yet reached, so a dense group of copies costs about its size. Any
+chain of links survives this, so the connected components are those of all
+links.
+
+A cell that over ``FULL`` fingerprints share is split: its members go to the 70
+projections of the plain bits to four of eight groups, of which linked ones share
+one too. Full cells are found in a sample by hash; this decides only about work,
+as the links are the same whether a cell is split or not.
 
 Components come from contraction: each node takes its least neighbour as its
 label and the links between labels are the next round's graph. Nodes are
@@ -34,13 +39,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, ready_workers, table
+from .common import HOT_SHARE, LEAST_HOT, cut, free_name, keep_one_of_repeats, left_join_hot, ready_workers, table
 
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
 _LOW = 0x5555555555555555
-_GROUPS = 8
+#: Fingerprints in a cell above which it is split, and the part of all that is counted for it.
+FULL = 1 << 15
+FULL_SAMPLE = 64
+BROADCAST_CELLS = 1_000_000
+#: Up to so many members a cell is compared whole, beyond by a search that gives a spanning tree.
+SMALL = 128
+#: Up to so many members a cell is compared whole, beyond by a search that gives a spanning tree.
+SMALL = 128
 
 
 def fingerprint(text: str | None) -> int:
@@ -84,11 +96,16 @@ def unary_counts(fp: Column) -> Column:
     return any_bit.bitwiseOR(F.shiftleft(both, 1))
 
 
-def cell_masks(max_bits: int = MAX_BITS) -> list[int]:
-    """One mask of the unary counts for each projection (as signed longs)."""
-    width = 64 // _GROUPS
-    groups = [((1 << width) - 1) << (width * g) for g in range(_GROUPS)]
-    masks = [sum(c) for c in combinations(groups, _GROUPS - max_bits)]
+def axis_groups(n: int) -> int:
+    """Groups of axes for n distinct fingerprints. A group more makes cells about 20 times smaller, and two to three times as many."""
+    return 5 if n <= 1 << 14 else 6 if n <= 1 << 20 else 7 if n <= 1 << 25 else 8
+
+
+def cell_masks(groups: int, max_bits: int = MAX_BITS) -> list[int]:
+    """One mask for each projection to groups - max_bits groups of whole segments (as signed longs)."""
+    ends = [64 // 2 * g // groups * 2 for g in range(groups + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    masks = [sum(c) for c in combinations(parts, groups - max_bits)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -120,6 +137,40 @@ def _tree(members: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
+def _small(which: np.ndarray, first: np.ndarray, size: np.ndarray, fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All links in the runs ``which`` of at most SMALL members, one distance between places at a time."""
+    if not len(which):
+        return []
+    n = size[which]
+    run = np.repeat(np.arange(len(which)), n)
+    own = fp[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(len(run))]
+    unary, out = _unary(own), []
+    for d in range(1, int(n.max())):
+        at = np.flatnonzero(run[:-d] == run[d:])
+        at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= max_bits]
+        at = at[np.bitwise_count(own[at] ^ own[at + d]) <= max_bits]
+        if len(at):
+            out.append((own[at], own[at + d]))
+    return out
+
+
+def _small(which: np.ndarray, first: np.ndarray, size: np.ndarray, fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All links in the runs ``which`` of at most SMALL members, one distance between places at a time."""
+    if not len(which):
+        return []
+    n = size[which]
+    run = np.repeat(np.arange(len(which)), n)
+    own = fp[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(len(run))]
+    unary, out = _unary(own), []
+    for d in range(1, int(n.max())):
+        at = np.flatnonzero(run[:-d] == run[d:])
+        at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= max_bits]
+        at = at[np.bitwise_count(own[at] ^ own[at + d]) <= max_bits]
+        if len(at):
+            out.append((own[at], own[at + d]))
+    return out
+
+
 def _bucket_links(max_bits: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(bucket: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -137,7 +188,8 @@ def _bucket_links(max_bits: int):
             whole = np.logical_and.reduceat(ok, np.r_[0, np.cumsum(size)[:-1]])
             star = whole[run] & (head != own)
             found = [(head[star], own[star])]
-            for k in np.flatnonzero(~whole & (size > 2)):
+            found += _small(np.flatnonzero(~whole & (size > 2) & (size <= SMALL)), first, size, fp, max_bits)
+            for k in np.flatnonzero(~whole & (size > SMALL)):
                 found += _tree(fp[first[k] : first[k] + size[k]], max_bits)
             a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             if len(a):
@@ -159,14 +211,32 @@ def _bucket_links(max_bits: int):
     return links
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _cells(fps: DataFrame, groups: int, max_bits: int) -> DataFrame:
+    masks = F.array(*[F.lit(m) for m in cell_masks(groups, max_bits)])
+    cells = fps.select("fp", F.posexplode(masks).alias("p", "m"))
+    return cells.select(F.xxhash64("p", unary_counts(F.col("fp")).bitwiseAND(F.col("m"))).alias("bucket"), "fp")
+
+
+def _split_full(cells: DataFrame, seen: DataFrame, max_bits: int, full: int, sample: int) -> DataFrame:
+    """``cells`` with the members of full cells dealt to projections of their bits; ``seen`` is the counted sample."""
+    crowded = cut(seen.groupBy("bucket").count().where(F.col("count") > max(full / sample, 1)).select(F.col("bucket").alias("crowded")))
+    n = crowded.count()
+    if not n:
+        return cells
+    fine = [F.xxhash64("bucket", F.lit(p), F.col("fp").bitwiseAND(F.lit(m))) for p, m in enumerate(cell_masks(8, max_bits))]
+    marked = cells.join(F.broadcast(crowded) if n <= BROADCAST_CELLS else crowded, F.col("bucket") == F.col("crowded"), "left")
+    places = F.when(F.col("crowded").isNotNull(), F.array(*fine)).otherwise(F.array("bucket"))
+    return marked.select(F.explode(places).alias("bucket"), "fp")
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, full: int = FULL, sample: int = FULL_SAMPLE) -> DataFrame:
     """Links a, b between distinct fingerprints whose components are those of all links."""
-    masks = F.array(*[F.lit(m) for m in cell_masks(max_bits)])
-    cells = prints.select("fp").distinct().select("fp", F.posexplode(masks).alias("p", "m"))
-    bucket = F.xxhash64("p", unary_counts(F.col("fp")).bitwiseAND(F.col("m")))
+    fps = cut(prints.select("fp").distinct())
+    groups = max(axis_groups(fps.count()), max_bits + 1)
+    seen = fps.where(F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(sample)) == 0)
+    cells = _split_full(_cells(fps, groups, max_bits), _cells(seen, groups, max_bits), max_bits, full, sample)
     return (
-        cells.select(bucket.alias("bucket"), "fp")
-        .repartition("bucket")
+        cells.repartition("bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_bucket_links(max_bits), "a long, b long")
         .distinct()
@@ -203,8 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry: Column | None = None) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row of ``docs``; and ``carry``, a string, as carried.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry: Column | None = None, sizes: bool = False) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of ``docs``; with ``carry``
+    (a string) as carried, and with ``sizes`` members, the rows of the
+    component, and label, a number of its own for each component.
 
     Null and empty texts have the fingerprint zero and are linked like any
     other. Repeated rows share a fingerprint and so a component. The component
@@ -215,16 +287,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     label = components(links(prints, max_bits))
     linked = nodes.join(label, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", "n", "label"
+        "fp", "least", "n", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked")
+    )
+    linked = cut(linked.where("n > 1 OR linked"))
+    by_label = linked.where("linked").groupBy("label").agg(F.min("least").alias("whole"), F.sum("n").alias("all"))
+    known = linked.join(by_label, "label", "left").select(
+        "fp", F.when(F.col("linked"), F.col("whole")).otherwise(F.col("least")).alias("known"), F.coalesce("all", "n").alias("members"), "label", "n"
     )
-    linked = cut(linked.where("n > 1 OR label IS NOT NULL"))
-    by_label = linked.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("whole"))
-    known = linked.join(by_label, "label", "left").select("fp", F.coalesce("whole", "least").alias("known"), F.lit(True).alias("hit"))
-    return prints.join(known, "fp", "left").select(
+    known = cut(known)
+    # counted: every row of a fingerprint counts, so fewer than HOT_SHARE pass
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = known.where(F.col("n") > max(LEAST_HOT, total / HOT_SHARE)).drop("n")
+    got = left_join_hot(prints.withColumn("key", F.col("fp").cast("string")), known.drop("n").withColumnRenamed("fp", "key").withColumn("key", F.col("key").cast("string")), "key", hot.withColumnRenamed("fp", "key").withColumn("key", F.col("key").cast("string")))
+    return got.select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("hit"), F.col("known")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("members").isNotNull(), F.col("known")).otherwise(F.col("doc_id")).alias("component_id"),
         *([] if carry is None else ["carried"]),
+        *([F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("label", "fp").alias("label")] if sizes else []),
     )
 
 
@@ -235,15 +315,26 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least id.
 
-    Null and empty texts are one group. A null id cannot be named as dropped
-    and stays; rows repeated with the keeper's id all stay, and an id that
-    stands on several texts loses only those that are dropped; an empty table
-    stays empty. Other columns may have any name.
+    Null and empty texts are one group. A row with a null id stays only if no
+    row of its group has an id; of several such, and of rows repeated with the
+    keeper's id, that with the least digest stays. An id that stands on texts of several
+    groups loses only those that are dropped. An empty table stays empty. Other
+    columns may have any name.
     """
     mark = free_name(docs)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    dropped = (
-        near_dedup(docs.select("doc_id", "text"), carry=digest).where("doc_id <> component_id")
-        .select("doc_id", F.col("carried").alias(mark)).distinct()
+    seen = (
+        near_dedup(docs.select("doc_id", "text"), carry=digest, sizes=True).where("members > 1")
+        .select("doc_id", F.col("carried").alias(mark), "component_id", "label")
+    )
+    seen = cut(seen.groupBy("doc_id", mark, "component_id", "label").agg(F.count(F.lit(1)).alias("count")))
+    # of a component the rows with its least id; of these the least text digest
+    kept = seen.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = kept.groupBy("label").agg(F.min(mark).alias("best"))
+    chosen = cut(kept.join(best, "label").where(F.col(mark) == F.col("best")).select("doc_id", mark, "count"))
+    dropped = seen.select("doc_id", mark).join(
+        chosen.select(F.col("doc_id").alias("i"), F.col(mark).alias("m")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m")), "left_anti"
     )
-    return docs.withColumn(mark, digest).join(dropped, ["doc_id", mark], "left_anti").drop(mark)
+    marked = docs.withColumn(mark, digest)
+    left = marked.join(dropped, marked["doc_id"].eqNullSafe(dropped["doc_id"]) & (marked[mark] == dropped[mark]), "left_anti")
+    return keep_one_of_repeats(left, "doc_id", mark, chosen.where("count > 1").select("doc_id", mark)).drop(mark)
