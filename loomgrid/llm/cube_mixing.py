@@ -11,8 +11,10 @@ documents fly independently; their undecided rest flies again in larger blocks
 fewer documents land by the draw that has the right marginals and the least
 expected miss in words.
 
-Blocks follow a hash of the document id, so a hot source is spread over many
-tasks and reruns agree however the rows are dealt.
+Rows of one source, id and size are interchangeable, so they are counted first
+and stand apart by a number; blocks follow a hash of id, size and that number.
+So a hot source, or an id that many rows share (null too), is spread over many
+tasks, and reruns agree however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ import random
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ready_workers, table
+from .common import WORD, cut, numbered, ready_workers, table
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCK = 2048
 FAN_IN = 512
 BROADCAST_SOURCES = 50_000
+#: Rows made at a time of rows that stand repeated.
+PIECE = 4096
 _EPS = 1e-9
 
 
@@ -113,22 +117,11 @@ def _targets(base: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     is found by sharing again until no source is above, one small aggregation
     over the sources each time.
     """
-    sources = cut(base.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
-    # the rank of each source by code point (null has the last key), range by range
-    ranged = cut(
-        sources.repartitionByRange("src").withColumn("part", F.spark_partition_id())
-        .withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy("src")))
-    )
-    before, offsets = 0, []
-    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").count().collect()):
-        offsets.append((part, before))
-        before += n
-    if not offsets:
-        offsets = [(0, 0)]
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), F.col("part"))
-    rank = offset + F.col("in_part") - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    sources = cut(ranged.select("src", "source_size", "docs", weight.alias("w")))
+    sources = cut(base.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")))
+    # the rank of each source by code point; null has the last key
+    ranked = numbered(sources, "src", "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = cut(ranked.select("src", "source_size", "docs", weight.alias("w")))
     total = float(sources.agg(F.sum("source_size")).first()[0] or 0)
     limit = F.col("source_size") * float(cap)
     rate = 0.0
@@ -147,17 +140,29 @@ def _targets(base: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     )
 
 
+def _keys(id_col: Column, text_col: Column, source_col: Column) -> list[Column]:
+    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return [
+        id_col.cast("long").alias("doc_id"),
+        F.coalesce(F.concat(F.lit("s"), source_col), F.lit("t")).alias("src"),
+        words.alias("size"),
+    ]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``.
+    """doc_id, size, source_size, target, taken, copies, src for each row of ``docs``.
 
     Null and empty texts have size 0 and take nothing. A null source is a
-    source of its own, after all others. Copies of one row are decided each by
-    itself. An empty table gives an empty result; other columns do not matter.
+    source of its own, after all others (``src`` is 's' and the source, or 't'
+    for null). Rows that share id, source and size are decided each by itself, and
+    null is an id like any other. An empty table gives an empty result; other
+    columns do not matter.
     """
     ready_workers(docs.sparkSession)
-    src = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), words.alias("size")))
+    base = cut(
+        docs.select(*_keys(F.col(id_col), F.col(text_col), F.col(source_col)))
+        .groupBy("doc_id", "src", "size").agg(F.count(F.lit(1)).alias("n"))
+    )
     targets = cut(_targets(base))
     n_sources = targets.count()
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)
@@ -168,8 +173,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     if n_sources <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    h = F.xxhash64("doc_id", F.lit(5))
-    state = base.join(plan, "src").withColumn("h", h).withColumn("block", F.pmod("h", "blocks")).withColumn("level", F.lit(0))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE) - 1))
+    each = base.withColumn("piece", piece).withColumn("nth", nth).withColumn("nth", F.col("piece") * PIECE + F.col("nth"))
+    h = F.xxhash64("doc_id", "size", "nth", F.lit(5))
+    state = each.join(plan, "src").withColumn("h", h).withColumn("block", F.pmod("h", "blocks")).withColumn("level", F.lit(0))
     blocks = targets.agg(F.max(F.ceil(F.col("docs") / BLOCK))).first()[0] or 0
     done, level = [], 0
     fields = [x.split()[0] for x in _FLIGHT.split(", ")]
@@ -198,22 +206,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.join(sizes, "src").select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("whole") + F.col("p").cast("int"))).alias("taken"),
-        (F.col("whole") + F.col("p").cast("int")).alias("copies"),
+        (F.col("whole") + F.col("p").cast("int")).alias("copies"), "src",
     )
 
 
 def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("src")
+
+
+def _rank_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank (from 0) of each row among those of the same keys, in two steps:
+    within a scan partition, and the partitions of a key among each other."""
+    rows = cut(rows.withColumn("salt__", F.spark_partition_id()))
+    sums = rows.groupBy(*keys, "salt__").agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.partitionBy(*keys).orderBy("salt__").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("salt__").alias("salt___"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
+    local = rows.withColumn("rank__", F.row_number().over(Window.partitionBy(*keys, "salt__").orderBy(F.lit(0))) - 1)
+    same = F.col("salt__") == F.col("salt___")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return local.join(sums, same).withColumn("rank__", F.col("rank__") + F.col("before__")).drop("salt__", "salt___", "before__", *[f"{k}__" for k in keys])
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (up to three times, or not at all).
 
-    Rows that share an id (null is one id too) all get the largest number of
-    copies decided for it. Null and empty texts weigh nothing and are drawn
-    like others; an empty table stays empty. Other columns may have any name.
+    Rows that share id, source and size (null is an id too) take together what
+    was decided for them; which of them has the extra copy may differ between
+    reruns, the number may not. Null and empty texts weigh nothing and are
+    drawn like others; an empty table stays empty. Other columns may have any
+    name.
     """
-    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies__"))
-    copies = copies.withColumnRenamed("doc_id", "id__")
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id__"]))
-    return mixed.withColumn("copies__", F.explode(F.sequence(F.lit(1), "copies__"))).select(*docs.columns)
+    own = [f"c{i}__" for i in range(len(docs.columns))]  # so that no column's name can clash
+    at = {c: own[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
+    rows = docs.toDF(*own)
+    keys = ["k_id", "k_src", "k_size"]
+    keyed = rows.select(*own, *[c.alias(k) for k, c in zip(keys, _keys(F.col(at["doc_id"]), F.col(at["text"]), F.col(at["source"])))])
+    decided = cut(
+        mix(docs).groupBy("doc_id", "src", "size")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"), F.sum("copies").alias("copies"))
+        .withColumn("more", F.col("copies") - F.col("n") * F.col("least")).drop("copies")
+    )
+    same = keyed["k_id"].eqNullSafe(decided["doc_id"]) & (keyed["k_src"] == decided["src"]) & (keyed["k_size"] == decided["size"])
+    marks = ["n", "least", "more"]
+    alone = keyed.join(decided.where("n = 1 AND least > 0"), same).select(*own, F.col("least").alias("copies"))
+    repeated = decided.where("n > 1")
+    if many := repeated.count():
+        repeated = F.broadcast(repeated) if many <= BROADCAST_SOURCES else repeated
+        ranked = _rank_repeats(keyed.join(repeated, same).select(*own, *keys, *marks), keys)
+        alone = alone.unionByName(ranked.select(*own, (F.col("least") + (F.col("rank__") < F.col("more")).cast("int")).alias("copies")).where("copies > 0"))
+    return alone.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*own).toDF(*docs.columns)
