@@ -1,40 +1,57 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
 Embeddings become 64-bit codes (signs of the first 64 components, or of fixed
-random projections where there are other than 64). A code is cut into segments,
+random projections where there are other than 64). A code is cut into m segments,
 each of them an index, about as wide as the logarithm of the number of codes, so
-that a probe meets about one code at every size. A query probes a segment with
+that a probe meets a few codes at every size. A query probes a segment with
 all values within r bits of its own. After all m segments were probed with
-radius r and the first a of them with r + 1, every code within
-m (r + 1) + a - 1 bits was met. The radius grows in rounds until a query's kth
-verified distance lies within what is covered; finished queries leave. Rounds
-are small at first, as the kth distance so far bounds what later joins let pass.
+radius r, every code within m (r + 1) - 1 bits was met. The radius grows in
+rounds until a query's kth verified distance lies within what is covered;
+finished queries leave, and the kth distance so far bounds what later joins let
+pass. Probes are made row by row in the JVM, one flipped bit after the other, so
+a radius needs no table of masks.
+
+A round that is expected to make more rows (probes and the codes they meet) than
+there are codes no longer pays. Queries that are still open then are compared
+with all codes, in blocks: blocks of queries meet chunks of codes, and each pair
+gives back only the k nearest of each query. So a query far from
+everything costs one look at each code, and the answer stays exact.
 
 Rows with equal codes are one entry that lists its k least ids: no answer can
 hold more of them. Queries with equal codes are answered once. So a code that
-a third of all rows have is one row on both sides.
+a third of all rows have is one row on both sides. A segment value that over
+``FULL`` codes share is split into pieces, and probes of it go to each piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, ready_workers, table
 
 K = 10
+#: Codes of one segment value that one piece holds.
+FULL = 4096
+#: Queries and codes of one task of the scan at most, codes of one task at least, and distances held at once.
+BLOCK, CHUNK, LEAST_CHUNK, AT_ONCE = 1 << 16, 1 << 20, 1 << 12, 1 << 20
 
 
 def segment_widths(n: int) -> list[int]:
-    """Bits of each segment for an index of n codes: 4 x 16, then 22 + 21 + 21, then 2 x 32."""
-    m = 4 if n <= 1 << 18 else 3 if n <= 1 << 26 else 2
+    """Bits of each segment for an index of n codes: about log2(n), in 2 to 8 segments."""
+    m = min(8, max(2, math.ceil(64 / max(math.log2(max(n, 2)), 1))))
     return [64 // m + (i < 64 % m) for i in range(m)]
 
 
+def round_rows(widths: list[int], radius: int, n: int) -> float:
+    """Rows a query is expected to make in the round of this radius: probes, and the codes each meets."""
+    return sum(math.comb(w, radius) * (1 + n / 2**w) for w in widths)
+
+
 def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
     """64 signs as a long; null components and missing ones count as 0 (sign off). A null embedding has no code."""
     bits = F.lit(0).cast("long")
@@ -55,22 +72,77 @@ def binary_code(embedding: Column, dims: int, seed: int = 6) -> Column:
     return F.when(embedding.isNotNull(), bits)
 
 
-def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
+def _segment(code: Column, widths: list[int], seg: int) -> Column:
+    return F.shiftrightunsigned(code, sum(widths[:seg])).bitwiseAND(F.lit((1 << widths[seg]) - 1))
 
 
-def _rounds(widths: list[int]) -> Iterator[tuple[list[tuple[int, int]], int]]:
-    """([(segment, radius) to probe], distance covered afterwards) for each round."""
-    m = len(widths)
-    yield [(seg, r) for r in (0, 1) for seg in range(m)], 2 * m - 1
-    for r in range(2, max(widths) + 1):
-        steps = [range(m)] if r < 4 else [range(m // 2), range(m // 2, m)]
-        for segs in steps:
-            yield [(seg, r) for seg in segs if r <= widths[seg]], m * r + segs[-1]
+def _probes(open_: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """q, worst, seg, v: for each segment every value that differs from the query's in ``radius`` bits."""
+    segs = [
+        F.struct(F.lit(s).alias("seg"), F.lit(w).alias("w"), _segment(F.col("q"), widths, s).alias("v"))
+        for s, w in enumerate(widths) if w >= radius
+    ]
+    rows = open_.select("q", "worst", F.inline(F.array(*segs))).withColumn("bit", F.lit(-1))
+    for k in range(radius):
+        # bits go up; enough places are left for those to come
+        rows = rows.withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.col("w") - (radius - k)))).withColumn(
+            "v", F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+        )
+    return rows.select("q", "worst", "seg", "v")
 
 
-def _segment(code: Column, widths: list[int], seg: int) -> Column:
-    return F.shiftrightunsigned(code, sum(widths[:seg])).bitwiseAND(F.lit((1 << widths[seg]) - 1))
+def _index(entries: DataFrame, widths: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """seg, v, piece, code, n for each segment of each code; and the split values with their pieces, if any."""
+    rows = entries.select(
+        "code", F.size("ids").alias("n"),
+        F.inline(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), widths, s).alias("v")) for s in range(len(widths))])),
+    )
+    crowded = cut(rows.groupBy("seg", "v").count().where(F.col("count") > FULL).select("seg", "v", F.ceil(F.col("count") / FULL).alias("pieces")))
+    if crowded.isEmpty():
+        return cut(rows.withColumn("piece", F.lit(0).cast("long"))), None
+    piece = F.pmod(F.xxhash64("code"), F.coalesce("pieces", F.lit(1)))
+    return cut(rows.join(crowded, ["seg", "v"], "left").withColumn("piece", piece).drop("pieces")), crowded
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The nearest entries of each query up to k answers, with all ties of the last distance."""
+    near = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+    return met.withColumn("closer", F.coalesce(F.sum("n").over(near), F.lit(0))).where(F.col("closer") < k).drop("closer")
+
+
+def _nearest_in_chunk(k: int):
+    def nearest(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        code, ids = codes["code"].to_numpy().view(np.uint64), codes["id"].to_numpy()
+        q, worst = asked["q"].to_numpy(), asked["worst"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        code, ids = code[order], ids[order]
+        out, step, n = [], max(1, AT_ONCE // max(len(ids), 1)), min(k, len(ids))
+        for a in range(0, len(q) if n else 0, step):
+            part = q[a : a + step]
+            # distance first, then the smaller id: one number for both
+            rank = np.bitwise_count(part.view(np.uint64)[:, None] ^ code[None, :]).astype(np.int64) * len(ids) + np.arange(len(ids))
+            least = np.take_along_axis(rank, np.argpartition(rank, n - 1, axis=1)[:, :n], axis=1)
+            far, at = np.divmod(least, len(ids))
+            ok = far <= worst[a : a + step, None]
+            out.append((np.broadcast_to(part[:, None], far.shape)[ok], far[ok].astype(np.int32), ids[at[ok]]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int32, np.int64)]
+        return pa.table(dict(zip(("q", "distance", "vec_id"), columns)))
+
+    return nearest
+
+
+def _scan(entries: DataFrame, open_: DataFrame, k: int) -> DataFrame:
+    """q, distance, vec_id: of each chunk of the codes the k nearest rows of each open query."""
+    ready_workers(entries.sparkSession)
+    each = entries.select("code", F.explode("ids").alias("id"))
+    n, tasks = each.count(), 4 * entries.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-n // CHUNK), min(tasks, -(-n // LEAST_CHUNK)))
+    blocks = max(1, -(-open_.count() // BLOCK))
+    all_of = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    codes = each.withColumn("chunk", F.pmod(F.xxhash64("code", "id"), F.lit(chunks))).withColumn("block", all_of(blocks))
+    asked = open_.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("chunk", all_of(chunks))
+    key = ("chunk", "block")
+    return codes.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_nearest_in_chunk(k), "q long, distance int, vec_id long")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -93,40 +165,35 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = queries.where("code IS NOT NULL AND id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q"))
     size, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     enough, widths = min(k, total), segment_widths(size)
-    index = cut(
-        entries.select(
-            "code", F.size("ids").alias("n"),
-            F.inline(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), widths, s).alias("v")) for s in range(len(widths))])),
-        )
-    )
+    index, crowded = _index(entries, widths)
     open_ = cut(asked.select("q").distinct().withColumn("worst", F.lit(64)))
-    found, finished = None, None
-    for probes, covered in _rounds(widths):
-        parts = [
-            open_.select(
-                "q", "worst", F.lit(seg).alias("seg"),
-                F.explode(F.lit(_masks(widths[seg], r))).alias("mask"),
-            ).select("q", "worst", "seg", _segment(F.col("q"), widths, seg).bitwiseXOR(F.col("mask")).alias("v"))
-            for seg, r in probes
-        ]
-        probe = parts[0]
-        for p in parts[1:]:
-            probe = probe.unionByName(p)
+    found, finished, radius, scanned = None, [], 0, None
+    while True:
+        radii = (0, 1) if radius == 0 else (radius,)
+        if not size or open_.isEmpty():
+            break
+        if radius > 1 and sum(round_rows(widths, r, size) for r in radii) > size or radius > max(widths):
+            scanned = _scan(entries, open_, k)
+            break
+        probe = _probes(open_, widths, radii[0])
+        for r in radii[1:]:
+            probe = probe.unionByName(_probes(open_, widths, r))
+        if crowded is None:
+            probe = probe.withColumn("piece", F.lit(0).cast("long"))
+        else:
+            piece = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1))
+            probe = probe.join(crowded, ["seg", "v"], "left").withColumn("piece", piece).drop("pieces")
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = (
-            probe.join(index.hint("shuffle_hash"), ["seg", "v"])
+            probe.join(index.hint("shuffle_hash"), ["seg", "v", "piece"])
             .where(distance <= F.col("worst"))
             .select("q", "code", "n", distance.alias("distance"))
             .distinct()
         )
         if found is not None:
             met = met.unionByName(found).distinct()
-        # keep the nearest entries up to k answers, with all ties of the last distance
-        near = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-        best = cut(
-            met.withColumn("closer", F.coalesce(F.sum("n").over(near), F.lit(0))).where(F.col("closer") < k)
-            .drop("closer")
-        )
+        best = cut(_best(met, k))
+        covered = len(widths) * (radii[-1] + 1) - 1
         state = open_.select("q").join(
             best.groupBy("q").agg(F.sum("n").alias("got"), F.max("distance").alias("far")), "q", "left"
         )
@@ -135,15 +202,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         # with every row met there is nothing left to find
         over = (filled & ((F.col("far") <= covered) | F.lit(enough == total))) | F.lit(covered >= 64)
         state = cut(state.select("q", worst.alias("worst"), over.alias("over")))
-        now = best.join(state.where("over").select("q"), "q", "left_semi")
-        finished = now if finished is None else finished.unionByName(now)
+        finished.append(best.join(state.where("over").select("q"), "q", "left_semi"))
         open_ = state.where("NOT over").select("q", "worst")
-        if open_.isEmpty():
-            break
         found = best.join(open_.select("q"), "q", "left_semi")
+        radius = radii[-1] + 1
+    answers = None
+    for part in [f.join(entries, "code").select("q", "distance", F.explode("ids").alias("vec_id")) for f in finished] + ([scanned] if scanned is not None else []):
+        answers = part if answers is None else answers.unionByName(part)
+    if answers is None:
+        answers = entries.select(F.col("code").alias("q"), F.lit(0).alias("distance"), F.explode("ids").alias("vec_id")).where(F.lit(False))
     answers = (
-        finished.join(entries, "code").select("q", "distance", F.explode("ids").alias("vec_id"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id")))
+        answers.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id")))
         .where(F.col("rank") <= k)
     )
     return asked.join(answers, "q").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))
