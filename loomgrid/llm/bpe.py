@@ -10,8 +10,9 @@ the prefix before it. Following these back gives the ids of the word.
 Pair compatibility is tested by undoing merges, latest first, on the two sides
 of the seam and asking whether BPE would have merged across it earlier.
 
-Words come from the tokenizer file's own split (added tokens first, then the
-byte-level pattern). Encoded words are kept in a bounded table a worker, so
+Words come from the split that byte-level files name (added tokens first, then
+its fixed pattern); files with a normaliser, another split or other model
+settings are refused. Encoded words are kept in a bounded table a worker, so
 frequent words cost one lookup; texts are never cut.
 """
 
@@ -78,9 +79,22 @@ class _Words(_Recent):
         return super().__missing__(word) if len(word) <= 40 else self.make(word)
 
 
+def _checked(spec: dict) -> dict:
+    """The file, if it is of the kind this encoder equals: byte level with its own split, plain BPE, no normaliser, plain added tokens."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(k)]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) else []
+    wrong += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    wrong += ["added_tokens"] if any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")) else []
+    if wrong:
+        raise ValueError(f"this tokenizer file needs what is not built here: {', '.join(wrong)}")
+    return spec
+
+
 class ByteBpe:
-    def __init__(self, path: str):
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    def __init__(self, path: str | bytes):
+        spec = _checked(json.loads(path if isinstance(path, bytes) else Path(path).read_bytes()))
         letters = _byte_letters()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
@@ -180,9 +194,22 @@ class ByteBpe:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str) -> ByteBpe:
-    return ByteBpe(path)
+@lru_cache(maxsize=1)
+def shipped(path: str) -> tuple[str, bytes]:
+    """Digest and content of a vocabulary file, read on the driver (a few MB)."""
+    content = Path(path).read_bytes()
+    return hashlib.sha256(content).hexdigest(), content
+
+
+_built: dict[str, ByteBpe] = {}
+
+
+def tokenizer(digest: str, content: bytes) -> ByteBpe:
+    """A worker's encoder; it is built once and keeps its tables from task to task."""
+    if digest not in _built:
+        _built.clear()
+        _built[digest] = ByteBpe(content)
+    return _built[digest]
 
 
 _TYPES = {
@@ -194,11 +221,11 @@ _TYPES = {
 }
 
 
-def _run(path: str, columns: tuple[str, ...]):
+def _run(vocabulary, columns: tuple[str, ...]):
     decode = any(c.startswith("decoded") for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(*vocabulary.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
@@ -241,7 +268,9 @@ def encode(
     ready_workers(docs.sparkSession)
     own = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + [f"{c} {_TYPES[c][0]}" for c in columns])
-    return own.mapInArrow(_run(vocabulary or default_vocabulary(), tuple(columns)), schema)
+    # the file goes along, as executors need not have it
+    sent = docs.sparkSession.sparkContext.broadcast(shipped(vocabulary or default_vocabulary()))
+    return own.mapInArrow(_run(sent, tuple(columns)), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
