@@ -79,6 +79,51 @@ def test_components_of_planted_chains(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("groups", [5, 6, 7, 8])
+def test_cells_miss_no_link(groups):
+    rng = random.Random(groups)
+    masks = [m & (1 << 64) - 1 for m in simhash.cell_masks(groups)]
+    unary = lambda v: sum((1 if (v >> 2 * i & 3).bit_count() == 1 else 3 if (v >> 2 * i & 3) == 3 else 0) << 2 * i for i in range(32))
+    for _ in range(500):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), 4))
+        assert any(unary(a) & m == unary(b) & m for m in masks)
+
+
+def test_a_full_cell_is_split(spark):
+    """Thousands of strangers with the same bit counts in every segment, and a few links among them."""
+    rng = random.Random(6)
+    one = lambda: sum(rng.choice((1, 2)) << 2 * i for i in range(32))
+    prints = {one() for _ in range(3000)}
+    linked = rng.sample(sorted(prints), 40)
+    prints |= {p ^ 3 for p in linked}  # the first segment turned: two bits
+    df = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(sorted(prints))], "doc_id long, fp long").repartition(4)
+    plain = {tuple(r) for r in simhash.links(df).collect()}
+    split = {tuple(r) for r in simhash.links(df, full=100, sample=1).collect()}
+    assert {frozenset((signed(p), signed(p ^ 3))) for p in linked} <= {frozenset(x) for x in split}
+    groups = lambda found: sorted(sorted(g) for g in _merged(found))
+    assert groups(plain) == groups(split)
+    cells = simhash._cells(df, 6, 4)
+    dealt = simhash._split_full(cells, cells, 4, 100, 1)
+    assert cells.groupBy("bucket").count().agg(F.max("count")).first()[0] > 3000 > 100 > dealt.groupBy("bucket").count().agg(F.max("count")).first()[0]
+
+
+def _merged(pairs):
+    groups = []
+    for a, b in pairs:
+        near = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in near] + [set().union({a, b}, *near)]
+    return groups
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    left, right, third = (" ".join(f"{w}{i}" for i in range(300)) for w in ("left", "right", "third"))
+    rows = [(1, left), (5, left + " more"), (5, right), (5, right), (7, right + " more"), (None, left), (None, third), (None, third), (None, third + " more"), (8, None), (9, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, `a.b` string").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "")[:4]) for r in simhash.stage_near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "left"), (5, "righ"), (None, "thir"), (8, "")], key=str)
+
+
 def test_a_dense_group_gives_few_links(spark):
     rng = random.Random(3)
     centre = rng.getrandbits(64)
@@ -160,6 +205,49 @@ def test_mixing_of_odd_rows(odd, no_docs):
     assert cube_mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_of_many_null_ids(spark, monkeypatch):
+    """A hundred thousand rows without an id: several blocks of at most about 2,048 rows, totals as for others."""
+    plain = cube_mixing._fly
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(last):
+        run = plain(last)
+
+        def out(rows):
+            assert rows.num_rows < 2400
+            sizes.add(1)
+            return run(rows)
+
+        return out
+
+    monkeypatch.setattr(cube_mixing, "_fly", counted)
+    df = spark.range(100_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 > 0, "b").alias("source"),
+    )
+    got = cube_mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert sizes.value >= 48 and sum(r["n"] for r in got) == 100_000 and all(abs(r["taken"] - r["target"]) <= 6 for r in got)
+
+
+def test_mixing_stage_with_any_columns(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 4 == 0 else i // 2, "w " * rng.randrange(6), rng.choice("abc"), "x", 1, f"row{i}", 2, 3, 4) for i in range(600)]
+    names = ["doc_id", "text", "source", "copies__", "id__", "a.b", "n", "rank__", "c0__"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies__ string, id__ int, `a.b` string, n int, rank__ int, c0__ int").repartition(5)
+    got = cube_mixing.stage_mix(spark, df, "")
+    assert got.columns == names
+    key = lambda r: (r[0], r[2], len(r[1].split()))
+    want, have = {}, {}
+    for r in cube_mixing.mix(df).collect():
+        k = (r["doc_id"], r["src"][1:], r["size"])
+        want[k] = want.get(k, 0) + r["copies"]
+    out = [tuple(r) for r in got.collect()]
+    for r in out:
+        have[key(r)] = have.get(key(r), 0) + 1
+    assert have == {k: n for k, n in want.items() if n} and set(out) <= set(rows)
+    assert max(out.count(r) for r in set(out)) <= 3
+
+
 def nearest(ids, codes, queries, k):
     out = []
     for q in queries:
@@ -179,6 +267,32 @@ def test_top_k(spark, spread):
     assert got == nearest(list(codes), codes, [i for i in codes if i % 20 == 0], 5)
 
 
+def test_top_k_with_split_values_and_scan(spark, monkeypatch):
+    """A segment value that most codes share, and queries far from everything."""
+    monkeypatch.setattr(hamming_topk, "FULL", 30)
+    monkeypatch.setattr(hamming_topk, "LEAST_CHUNK", 64)
+    monkeypatch.setattr(hamming_topk, "BLOCK", 16)
+    rng = random.Random(2)
+    codes = {i: (rng.getrandbits(40) << 24 if i % 3 else rng.getrandbits(64)) for i in range(600)}
+    df = spark.createDataFrame([(i, signed(c)) for i, c in codes.items()], "id long, code long").repartition(4)
+    far = spark.createDataFrame([(10_000 + i, signed((1 << 64) - 1 - codes[i])) for i in range(0, 600, 20)], "id long, code long")
+    every = codes | {10_000 + i: (1 << 64) - 1 - codes[i] for i in range(0, 600, 20)}
+    got = sorted(tuple(r) for r in hamming_topk.top_k(df, df.where("id % 20 = 0").unionByName(far), 7).collect())
+    assert got == nearest(list(codes), every, [i for i in every if i % 20 == 0], 7)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_probes_are_all_values_of_a_radius(spark, radius):
+    widths = hamming_topk.segment_widths(25_000)
+    q = 0x123456789ABCDEF0
+    got = [(r["seg"], r["v"]) for r in hamming_topk._probes(spark.createDataFrame([(q, 64)], "q long, worst int"), widths, radius).collect()]
+    want = []
+    for s, w in enumerate(widths):
+        v = q >> sum(widths[:s]) & (1 << w) - 1
+        want += [(s, x) for x in range(1 << w) if (x ^ v).bit_count() == radius]
+    assert sorted(got) == sorted(want) and len(widths) == 5
+
+
 def test_top_k_of_few_and_odd_rows(spark):
     df = spark.createDataFrame([(1, 5), (2, -1), (None, 3), (4, None)], "id long, code long")
     got = sorted(tuple(r) for r in hamming_topk.top_k(df, df.where("id = 1"), 5).collect())
@@ -186,7 +300,7 @@ def test_top_k_of_few_and_odd_rows(spark):
     assert hamming_topk.top_k(df.where("id < 0"), df.where("id < 0"), 5).count() == 0
     vectors = spark.createDataFrame([(1, [1.0, -1.0, None]), (2, []), (3, None)], "id int, e array<float>")
     codes = vectors.select("id", hamming_topk.binary_code(F.col("e"), 64).alias("c")).orderBy("id").collect()
-    assert [r["c"] for r in codes] == [1, 0, 0]
+    assert [r["c"] for r in codes] == [1, 0, None]
     assert vectors.select(hamming_topk.binary_code(F.col("e"), 3)).count() == 3
 
 
@@ -233,15 +347,16 @@ def test_pipeline_of_odd_and_no_rows(spark, odd, no_docs):
         assert df.count() <= 3 * docs.count()
 
 
-def test_null_ids_survive_dedup(spark):
+def test_null_ids_in_dedup(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "c d"), (None, "e f")], "doc_id long, text string")
-    assert exact_dedup.stage_exact_dedup(spark, df, "").count() == 4
+    got = exact_dedup.stage_exact_dedup(spark, df, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", "a b"), ("2", "c d"), ("None", "e f")]
 
 
 def test_an_id_on_two_texts_loses_only_the_dropped_one(spark):
     a, b = " ".join(f"left{i}" for i in range(80)), " ".join(f"right{i}" for i in range(80))
     df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, a)], "doc_id long, text string").withColumn("mark", F.lit("own"))
-    want = sorted([(3, a, "own"), (5, b, "own"), (5, b, "own"), (None, a, "own")], key=str)
+    want = sorted([(3, a, "own"), (5, b, "own")], key=str)
     for stage in (exact_dedup.stage_exact_dedup, simhash.stage_near_dedup):
         got = stage(spark, df, "")
         assert got.columns == df.columns

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import ORACLES, QUERIES
-from loomgrid.llm.exact_dedup import exact_dedup
+from loomgrid.llm import common
+from loomgrid.llm.exact_dedup import exact_dedup, stage_exact_dedup
 from loomgrid.llm.secret_scan import scan_secrets
-from loomgrid.llm.url_filter import RULES, filter_urls, listing
+from loomgrid.llm.url_filter import DOMAINS, FARMS, RULES, _farms, bloom_filter, filter_blocks, filter_urls, listing
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -114,29 +115,121 @@ URLS = [
 ]
 
 
-def test_urls(spark):
-    rows = [(i, u, "<html>", "x") for i, u in enumerate(URLS)] * 2
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
-    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(df, listing(spark)).collect()), key=str)
-    want = []
-    for i, u, _, _ in rows:
-        host, path, rule, verdict = brute.judge(u, RULES)
-        listed = any(host == h or host.endswith("." + h) for h, _ in __import__("loomgrid.llm.url_filter", fromlist=["LISTED"]).LISTED) and path.startswith("/")
-        want.append((i, host, path, rule, verdict or ("block" if listed else "allow")))
-    assert got == sorted(want, key=str)
-    assert filter_urls(df.where("page_id < 0"), listing(spark)).count() == 0
-    bare = filter_urls(df, listing(spark, [], [])).select("verdict").distinct().collect()
+def judged(df):
+    return sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in df.collect()), key=str)
+
+
+def want_urls(rows, rules, keys):
+    out = []
+    for i, u in rows:
+        host, path, rule, verdict = brute.judge(u, rules)
+        listed = host and {host + (path or "/"), host + "/", host.partition(".")[2] + "/"} & keys
+        out.append((i, host, path, rule, verdict or ("block" if listed else "allow")))
+    return sorted(out, key=str)
+
+
+def test_urls(spark, monkeypatch):
+    rows = [(i, u, "<html>", "x", "y", 1) for i, u in enumerate(URLS)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, best string, hit0 int").repartition(3)
+    more = [(u,) for u in ("HTTP://X.com/it?q", "ftp://a/", "http://ÀB.ORG/é", None, "x", "http://z.net", "http://z.net/#top")]
+    listed = listing(_farms(spark).unionByName(spark.createDataFrame(more, "url string")))
+    keys = {r["key"] for r in listed.collect()}
+    assert keys == {f"{f}.{d}/" for f in FARMS for d in DOMAINS} | {"x.com/it", "a/", "Àb.org/é", "z.net/"}
+    want = want_urls([(i, u) for i, u, *_ in rows], RULES, keys)
+    assert judged(filter_urls(df, listed)) == want
+    # the same by the join of long listings, and with every key hot
+    monkeypatch.setattr("loomgrid.llm.url_filter.BROADCAST_ENTRIES", 0)
+    assert judged(filter_urls(df, listed)) == want
+    monkeypatch.setattr("loomgrid.llm.url_filter.LEAST_HOT", 0)
+    assert judged(filter_urls(df, listed)) == want
+    assert filter_urls(df.where("page_id < 0"), listed).count() == 0
+    bare = filter_urls(df, listed.where("key = ''"), []).select("verdict").distinct().collect()
     assert [r[0] for r in bare] == ["allow"]
 
 
-def test_many_rules_and_a_small_filter(spark):
+def test_many_rules(spark):
     rng = random.Random(2)
     rules = [(".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))), "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(4))), rng.choice(["allow", "block"])) for _ in range(120)]
     rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
     urls = [(i, f"http://{'.'.join(rng.choice('abc') for _ in range(rng.randrange(1, 5)))}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(6)))}") for i in range(500)]
-    got = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), listing(spark, rules, []))
-    for r, (i, u) in zip(sorted(got.collect()), urls):
-        host, path, _, _ = brute.judge(u, rules)
-        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        longest = [f for f in fits if f[0] == max(x[0] for x in fits)] if fits else []
-        assert (r["rule"], r["verdict"]) in ([(k, v) for _, k, v in longest] or [(None, "allow")])
+    got = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), listing(_farms(spark)), rules)
+    assert judged(got) == want_urls(urls, rules, set())
+
+
+def test_ruled_out_urls_take_no_exchange(spark, small):
+    plan = QUERIES["op3_url_filters"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    urls = [line for line in plan.splitlines() if "url#" in line]
+    assert urls and not re.search("Aggregate|Repartition|Window|Sort|Generate", "".join(urls))
+    assert "Join" not in plan.split("+- Relation")[0].split("Join")[0]  # the first branch of the union: no join above its scan
+
+
+def test_a_long_listing(spark, monkeypatch):
+    """A million entries: every listed page is blocked, and hardly any other one reaches the join."""
+    monkeypatch.setattr("loomgrid.llm.url_filter.BROADCAST_ENTRIES", 1000)
+    listed = listing(spark.range(1_000_000).select(F.concat(F.lit("http://h"), F.col("id") % 5000, F.lit(".test/p"), "id").alias("url")))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://H"), F.col("id") % 5000, F.lit(".test/p"), F.when(F.col("id") % 2 == 0, "").otherwise("x"), "id").alias("url"))
+    got = filter_urls(pages, listed, [])
+    assert {r["verdict"]: r["count"] for r in got.groupBy("verdict").count().collect()} == {"block": 10_000, "allow": 10_000}
+    assert filter_blocks(1_000_000) == 1 << 18
+    words = bloom_filter(listed, 1 << 18).select(F.size("words"), F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x)).alias("set")).first()
+    assert words[0] == 1 << 18 and 0.1 < words[1] / (64 * words[0]) < 0.3
+
+
+@pytest.mark.parametrize("rows", [
+    [(3, "a b"), (5, "a  b"), (5, "x"), (5, "x"), (None, "a b"), (None, "x"), (None, "y"), (None, "y"), (7, "z"), (7, "z "), (8, None), (9, ""), (None, None)],
+    [(1, "A"), (5, "A"), (5, "B"), (7, "C")],
+])
+def test_stage_keeps_one_row_of_each_text(spark, rows):
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, `a.b` string").repartition(3)
+    got = stage_exact_dedup(spark, df, "")
+    assert got.columns == df.columns
+    groups = {}
+    for i, t in rows:
+        n = brute.SPACES.sub(" ", t or "")
+        groups.setdefault(n, []).append((i is None, i or 0))
+    want = [(None if min(ids)[0] else min(ids)[1], n) for n, ids in groups.items()]
+    assert sorted(((r["doc_id"], brute.SPACES.sub(" ", r["text"] or "")) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_hot_digest_stays_spread(spark, monkeypatch):
+    """Half of all rows share a text: their rows leave the last exchange evenly, whatever the digest."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = exact_dedup(df)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.where("group_size = 20000 AND keep_id = 0").count() == 20_000 and got.where("kept").count() == 20_001
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 1.2 * sum(sizes) / len(sizes)
+
+
+def test_join_with_hot_keys_equals_a_plain_join(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 50).cast("string")).alias("k"))
+    right = spark.range(40).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    for hot in (right.where("k IN ('1', '2', '35')"), right.where("false"), right):
+        assert sorted(map(tuple, common.left_join_hot(left, right, "k", hot).collect())) == sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "v").collect()))
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(500).select(F.concat(F.lit("x"), F.col("id")).alias("k")).repartition(6)
+    got = {r["k"]: r["rank"] for r in common.numbered(df, "k", "rank").collect()}
+    assert got == {k: n for n, k in enumerate(sorted(got))}
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Conf:
+        def __init__(self, at):
+            self.at = at
+
+        def get(self, key, default=None):
+            return self.at or default
+
+    class Session:
+        def __init__(self, at, master):
+            self.conf, self.sparkContext = Conf(at), type("C", (), {"master": master})
+
+    assert common.shared_folder(Session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    assert common.shared_folder(Session(None, "local[2]"))
+    with pytest.raises(ValueError):
+        common.shared_folder(Session(None, "yarn"))
