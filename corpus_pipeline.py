@@ -8,12 +8,12 @@ the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.llm.bpe import stage_encode
+from loomgrid.llm.common import shared_folder
 from loomgrid.llm.cube_mixing import stage_mix
 from loomgrid.llm.exact_dedup import stage_exact_dedup
 from loomgrid.llm.language_id import stage_language
@@ -34,8 +34,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    at = f"{root}/corpus_pipeline_{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus_pipeline_{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
