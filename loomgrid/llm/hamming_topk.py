@@ -77,7 +77,7 @@ def _segment(code: Column, widths: list[int], seg: int) -> Column:
 
 
 def _probes(open_: DataFrame, widths: list[int], radius: int) -> DataFrame:
-    """q, worst, seg, v: for each segment every value that differs from the query's in ``radius`` bits."""
+    """q, worst, seg, r, v: for each segment every value that differs from the query's in ``radius`` bits."""
     segs = [
         F.struct(F.lit(s).alias("seg"), F.lit(w).alias("w"), _segment(F.col("q"), widths, s).alias("v"))
         for s, w in enumerate(widths) if w >= radius
@@ -88,7 +88,19 @@ def _probes(open_: DataFrame, widths: list[int], radius: int) -> DataFrame:
         rows = rows.withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.col("w") - (radius - k)))).withColumn(
             "v", F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
         )
-    return rows.select("q", "worst", "seg", "v")
+    return rows.select("q", "worst", "seg", F.lit(radius).alias("r"), "v")
+
+
+def _first_met(widths: list[int]) -> Column:
+    """True for the one probe that meets a pair first: no segment is nearer than r, and none before this one as near.
+
+    So a pair is met once in all rounds, and nothing is made distinct.
+    """
+    alone = F.lit(True)
+    for s in range(len(widths)):
+        bits = F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), widths, s))
+        alone = alone & (bits >= F.col("r") + (F.col("seg") > s).cast("int"))
+    return alone
 
 
 def _index(entries: DataFrame, widths: list[int]) -> tuple[DataFrame, DataFrame | None]:
@@ -186,12 +198,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = (
             probe.join(index.hint("shuffle_hash"), ["seg", "v", "piece"])
-            .where(distance <= F.col("worst"))
+            .where((distance <= F.col("worst")) & _first_met(widths))
             .select("q", "code", "n", distance.alias("distance"))
-            .distinct()
         )
         if found is not None:
-            met = met.unionByName(found).distinct()
+            met = met.unionByName(found)
         best = cut(_best(met, k))
         covered = len(widths) * (radii[-1] + 1) - 1
         state = open_.select("q").join(
