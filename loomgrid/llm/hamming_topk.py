@@ -181,15 +181,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     open_ = cut(asked.select("q").distinct().withColumn("worst", F.lit(64)))
     found, finished, radius, scanned = None, [], 0, None
     while True:
-        radii = (0, 1) if radius == 0 else (radius,)
         if not size or open_.isEmpty():
             break
-        if radius > 1 and sum(round_rows(widths, r, size) for r in radii) > size or radius > max(widths):
+        if radius > 1 and round_rows(widths, radius, size) > size or radius > max(widths):
             scanned = _scan(entries, open_, k)
             break
-        probe = _probes(open_, widths, radii[0])
-        for r in radii[1:]:
-            probe = probe.unionByName(_probes(open_, widths, r))
+        probe = _probes(open_, widths, radius)
         if crowded is None:
             probe = probe.withColumn("piece", F.lit(0).cast("long"))
         else:
@@ -204,7 +201,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if found is not None:
             met = met.unionByName(found)
         best = cut(_best(met, k))
-        covered = len(widths) * (radii[-1] + 1) - 1
+        covered = len(widths) * (radius + 1) - 1
         state = open_.select("q").join(
             best.groupBy("q").agg(F.sum("n").alias("got"), F.max("distance").alias("far")), "q", "left"
         )
@@ -216,7 +213,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         finished.append(best.join(state.where("over").select("q"), "q", "left_semi"))
         open_ = state.where("NOT over").select("q", "worst")
         found = best.join(open_.select("q"), "q", "left_semi")
-        radius = radii[-1] + 1
+        radius += 1
     answers = None
     for part in [f.join(entries, "code").select("q", "distance", F.explode("ids").alias("vec_id")) for f in finished] + ([scanned] if scanned is not None else []):
         answers = part if answers is None else answers.unionByName(part)
