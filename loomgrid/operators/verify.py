@@ -39,6 +39,15 @@ def footprint(corrupted: DataFrame, remediated: DataFrame, faults: DataFrame) ->
     return changed_keys(corrupted, remediated).join(faults.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
+def unlogged(corrupted: DataFrame, remediated: DataFrame, log: DataFrame) -> DataFrame:
+    """Keys that the repair changed although its log does not name them with the two values."""
+    told = log.select(*KEYS, F.col("original_value").alias("a"), F.col("remediated_value").alias("b"), F.lit(True).alias("told"))
+    x = corrupted.select(*KEYS, F.col("load").alias("x"))
+    y = remediated.select(*KEYS, F.col("load").alias("y"))
+    both = x.join(y, KEYS).where(~close(F.col("y"), F.col("x"))).join(told, KEYS, "left")
+    return both.where(~(flag(F.col("told")) & close(F.col("x"), F.col("a")) & close(F.col("y"), F.col("b")))).select(*KEYS)
+
+
 def bind_faults(faults: DataFrame, reference: DataFrame, corrupted: DataFrame) -> DataFrame:
     """Fault rows whose recorded values are not those of the two panels (or whose key is not there)."""
     a = reference.select(*KEYS, F.col("load").alias("reference_load"), F.lit(True).alias("in_reference"))

@@ -77,7 +77,12 @@ def fixed_horizon(frames: dict[str, DataFrame], raw: dict[str, Any], weather: Da
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    long = E.common_keys(E.attach_targets(long, frames["reference"]), len(parts)).persist()
+    return fixed_tables(E.common_keys(E.attach_targets(long, frames["reference"]), len(parts)).persist(), frames, raw)
+
+
+def fixed_tables(long: DataFrame, frames: dict[str, DataFrame], raw: dict[str, Any]) -> dict[str, DataFrame]:
+    """Every table of a fixed-horizon run, from its predictions, the conditions and the configuration."""
+    s = _split(frames["reference"], raw)
     train = _training(frames["reference"], s)
     scale = E.pooled_scale(train).first()[0]
     errors = long.withColumn("error", F.abs(F.col("prediction") - F.col("target")))
@@ -117,7 +122,13 @@ def direct_horizons(frames: dict[str, DataFrame], raw: dict[str, Any], weather:
     truth = frames["reference"].select(F.col("timestamp").alias("target_timestamp"), "building_id", "load")
     long = E.attach_targets(long, truth, ["target_timestamp", "building_id"])
     long = E.complete_vectors(long, len(parts)).withColumn("block", week_block(F.col("building_id"), F.col("forecast_origin"))).persist()
-    scale = E.pooled_scale(_training(frames["reference"], s)).first()[0]
+    return direct_tables(long, frames["reference"], raw)
+
+
+def direct_tables(long: DataFrame, reference: DataFrame, raw: dict[str, Any]) -> dict[str, DataFrame]:
+    """Every table of a direct run, from its predictions, the reference and the configuration."""
+    s = _split(reference, raw)
+    scale = E.pooled_scale(_training(reference, s)).first()[0]
     reps, seed = int(raw["bootstrap_repetitions"]), int(raw["seed"])
     errors = long.withColumn("error", F.abs(F.col("prediction") - F.col("target")))
     by, by_h = ["condition", "model"], ["condition", "model", "horizon_hours"]
@@ -139,7 +150,7 @@ def run(spark: SparkSession, bundle: str, config: str | dict[str, Any], output:
     if bad := verify_bundle(spark, bundle):
         raise ValueError(f"the bundle does not verify: {bad}")
     manifest = readers.read_json(f"{bundle}/dataset_manifest.json")
-    frames = {c: readers_condition(spark, bundle, c).persist() for c in CONDITIONS}
+    frames = {c: readers_condition(spark, bundle, c) for c in CONDITIONS}
     if direct:
         D.assert_cutoff(manifest["cutoff"], _split(frames["reference"], raw).train_end)
     weather = spark.read.parquet(f"{bundle}/weather") if raw.get("weather") and "weather" in manifest["files"] else None
@@ -149,7 +160,7 @@ def run(spark: SparkSession, bundle: str, config: str | dict[str, Any], output:
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{output}/{name}")
         entries[name] = sinks.manifest_entry(spark.read.parquet(f"{output}/{name}"), name)
-    result = {"schema_version": "1.0", "models": sorted(raw["models"]), "direct": direct, "source_digest": manifest["files"]["reference"]["content_sha256"], "files": entries}
+    result = {"schema_version": "1.0", "models": sorted(raw["models"]), "direct": direct, "config": raw, "source_digest": manifest["files"]["reference"]["content_sha256"], "files": entries}
     result["source_revision"] = reports.source_revision()
     sinks.write_json(f"{output}/run_manifest.json", result)
     small = {n: [r.asDict() for r in spark.read.parquet(f"{output}/{n}").collect()] for n in ("metrics", "paired", "narrative", "horizons") if n in tables}
@@ -158,38 +169,62 @@ def run(spark: SparkSession, bundle: str, config: str | dict[str, Any], output:
     Path(output, "mase.svg").write_text(reports.bars(small["metrics"], "mase", "Scaled error"), encoding="utf-8")
     if "horizons" in small:
         Path(output, "horizons.svg").write_text(reports.lines(small["horizons"], "horizon_hours", "mae", "Error by horizon"), encoding="utf-8")
-    spark.catalog.clearCache()
+    tables["predictions"].unpersist()
     if bad := verify_results(spark, output, bundle):
         raise ValueError(f"the result does not verify: {bad}")
     return result
 
 
+#: What the rows of each published table stand for.
+TABLE_KEYS = {
+    "metrics": PAIR, "entity_mase": [*PAIR, "building_id"], "macro_mase": PAIR, "subgroups": [*PAIR, "group_dimension", "group_value"],
+    "paired": ["model"], "narrative": ["model"], "horizons": [*PAIR, "horizon_hours"], "paired_horizons": ["model", "horizon_hours"],
+}
+
+
 def verify_results(spark: SparkSession, output: str, bundle: str | None = None) -> list[str]:
-    """Digests, the prediction contract, metrics recomputed from predictions, targets bound to the source."""
+    """What is wrong with a published run.
+
+    Digests, the prediction contract, and plain metrics and paired differences
+    from the predictions. With the bundle also its digest, targets and the
+    partition bound to the source, and every published table recomputed in
+    full: scales, MASE, intervals, entities, subgroups, shares, horizons.
+    """
     manifest, out = readers.read_json(f"{output}/run_manifest.json"), []
     tables = {n: spark.read.parquet(f"{output}/{n}") for n in manifest["files"]}
     for name, entry in manifest["files"].items():
         if sinks.manifest_entry(tables[name], name)["content_sha256"] != entry["content_sha256"]:
             out.append(f"{name}: content is not that of the manifest")
-    pairs, predictions = expected_pairs(manifest["models"]), tables["predictions"]
+    pairs, predictions, direct = expected_pairs(manifest["models"]), tables["predictions"], manifest["direct"]
     found = {tuple(r) for r in predictions.select("condition", "model").distinct().collect()}
     if found != pairs:
         out.append("predictions do not have the expected conditions and models")
-    keys = FORECAST_KEYS if manifest["direct"] else KEYS
+    keys = FORECAST_KEYS if direct else KEYS
     if not verify.prediction_contract(predictions, len(pairs), keys).isEmpty():
         out.append("keys without a prediction from every pair, or with several targets")
-    if manifest["direct"] and not verify.incomplete_vectors(predictions).isEmpty():
+    if direct and not verify.incomplete_vectors(predictions).isEmpty():
         out.append("incomplete horizon vectors")
-    again = E.metrics(predictions, None).drop("mase")
-    if not verify.table_difference(tables["metrics"].select(*again.columns), again, ["condition", "model"]).isEmpty():
-        out.append("metrics do not follow from the predictions")
-    paired = E.paired_difference(E.paired_rows(predictions, keys))
-    if not verify.table_difference(tables["paired"].select(*paired.columns), paired, ["model"]).isEmpty():
-        out.append("paired differences do not follow from the predictions")
+    again = {"metrics": E.metrics(predictions, None).drop("mase"), "paired": E.paired_difference(E.paired_rows(predictions, keys))}
     if bundle:
-        ref = readers_condition(spark, bundle, "reference")
-        if manifest["direct"]:
-            ref = ref.withColumnRenamed("timestamp", "target_timestamp")
-        if not verify.unbound_predictions(predictions, ref, ["target_timestamp" if manifest["direct"] else "timestamp", "building_id"]).isEmpty():
+        source, raw = readers.read_json(f"{bundle}/dataset_manifest.json"), manifest["config"]
+        if source["files"]["reference"]["content_sha256"] != manifest["source_digest"]:
+            out.append("the run is of another bundle")
+        frames = {c: readers_condition(spark, bundle, c) for c in CONDITIONS}
+        at = "target_timestamp" if direct else "timestamp"
+        ref = frames["reference"].withColumnRenamed("timestamp", at)
+        if not verify.unbound_predictions(predictions, ref, [at, "building_id"]).isEmpty():
             out.append("targets are not the reference readings")
+        s, first = _split(frames["reference"], raw), F.col("forecast_origin" if direct else "timestamp")
+        if not predictions.where(first <= F.lit(s.train_end).cast("timestamp_ntz")).isEmpty():
+            out.append("predictions inside the training span")
+        again = direct_tables(predictions, frames["reference"], raw) if direct else fixed_tables(predictions, frames, raw)
+        if lost := sorted(set(again) - set(tables)):
+            out.append(f"tables that are not there: {lost}")
+    for name, expected in again.items():
+        if name == "predictions" or name not in tables:
+            continue
+        if lost := sorted(set(expected.columns) - set(tables[name].columns)):
+            out.append(f"{name}: columns that are not there: {lost}")
+        elif not verify.table_difference(tables[name].select(*expected.columns), expected, TABLE_KEYS[name]).isEmpty():
+            out.append(f"{name}: does not follow from the predictions and the source")
     return out

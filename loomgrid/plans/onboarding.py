@@ -88,16 +88,22 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
                 sinks.write_blocked(output, "SOURCE_IDENTITY", str(e))
                 raise Blocked(str(e)) from e
     got = readers.ingest_selected(spark, meter_csv, metadata_csv, config.selection, config.timestamp_column)
-    internal = got["panel"].persist()
+    own: list[DataFrame] = []  # what this run keeps in memory, and frees
+
+    def kept(df: DataFrame) -> DataFrame:
+        own.append(df.persist())
+        return df
+
+    internal = kept(got["panel"])
     try:
         calibration, quality = frozen(internal, config.quality)
-        issues = checked(internal, config, quality, "reference", got["issues"]).persist()
+        issues = kept(checked(internal, config, quality, "reference", got["issues"]))
         verdict = Q.gate(issues).first()
         if verdict["status"] == "fail":
             names = ", ".join(r[0] for r in issues.where("status = 'fail'").select("code").orderBy("code").collect())
             sinks.write_blocked(output, "REFERENCE_GATE", f"failed checks: {names}", issues)
             raise Blocked(f"the reference failed: {names}")
-        reference = contract(average_duplicates(internal, ["_raw_timestamp"]), "reference").persist()
+        reference = kept(contract(average_duplicates(internal, ["_raw_timestamp"]), "reference"))
         if bad := violations(reference, "reference"):
             raise Blocked("; ".join(bad))
         zone = got["panel"].select("building_id", "timezone").distinct()
@@ -108,8 +114,8 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
         validation = FA.inject_structural(reference, cutoff=config.cutoff, seed=config.seed, severity=config.severity, events_per_type=config.events_per_type)
         metrics = FA.confusion(validation.frame, validation.faults, quality)
         suite = FA.inject(reference, cutoff=config.cutoff, seed=config.seed, severity=config.severity, events_per_type=config.events_per_type)
-        corrupted = suite.frame.persist()
-        done = repair(corrupted, quality, repair_before=config.cutoff, **config.repair).persist()
+        corrupted = kept(suite.frame)
+        done = kept(repair(corrupted, quality, repair_before=config.cutoff, **config.repair))
         remediated = contract(done, "remediated")
         for name, df in (("corrupted", corrupted), ("remediated", remediated)):
             if not verify.key_difference(reference, df).isEmpty():
@@ -139,6 +145,7 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
             "schema_version": "1.0", "timestamp_semantics": "wall clock, no zone conversion", "cutoff": config.cutoff, "seed": config.seed, "severity": config.severity,
             "buildings": got["buildings"], "exclusions": [list(x) for x in got["exclusions"]], "gate": verdict.asDict(), "repair": statuses, "files": entries,
         }
+        summary["repairs_outside_faults"] = verify.footprint(corrupted, remediated, suite.faults).count()
         summary["source_revision"] = reports.source_revision()
         sinks.write_json(f"{output}/dataset_manifest.json", summary)
         Path(output, "data_card.md").write_text(reports.data_card(summary), encoding="utf-8")
@@ -146,7 +153,8 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
         Path(output, "report.md").write_text(reports.onboarding_report(summary, found), encoding="utf-8")
         return summary
     finally:
-        spark.catalog.clearCache()
+        for df in own:
+            df.unpersist()
 
 
 def readers_condition(spark: SparkSession, output: str, name: str) -> DataFrame:
@@ -176,9 +184,14 @@ def verify_bundle(spark: SparkSession, output: str) -> list[str]:
             ("fault values that are not those of the panels", verify.bind_faults(faults, ref, frames["corrupted"])),
             ("faults at or after the cutoff", FA.after_cutoff(faults, manifest["cutoff"])),
             ("stale fault metadata", FA.stale_metadata(faults)),
+            ("repairs that stand in no log", verify.unlogged(frames["corrupted"], frames["remediated"], spark.read.parquet(f"{output}/remediation_log"))),
         ):
             if n := rows.count():
                 out.append(f"{what}: {n}")
+        changes = verify.footprint(frames["corrupted"], frames["remediated"], faults).count()
+        if changes != manifest.get("repairs_outside_faults", changes):
+            out.append(f"repairs outside the injected faults: {changes}, not {manifest['repairs_outside_faults']}")
         return out
     finally:
-        spark.catalog.clearCache()
+        for df in frames.values():
+            df.unpersist()

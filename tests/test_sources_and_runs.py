@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.operators import panel as P
+from loomgrid.operators import verify
 from loomgrid.operators import weather as W
 from loomgrid.plans import forecasting, onboarding
 from loomgrid.sources import readers, sinks
@@ -203,12 +204,36 @@ def test_forecast_of_a_bundle(spark, bundle, tmp_path, direct):
         subgroups = spark.read.parquet(f"{out}/subgroups")
         assert subgroups.where("ci_low <= mae AND mae <= ci_high").count() == subgroups.count() == 6 * (3 + 2 + 3 + 1)
     assert forecasting.verify_results(spark, out, bundle[0]) == []
+    # forged cells with a manifest that agrees with them
+    manifest, forged_tables = json.loads(Path(out, "run_manifest.json").read_text()), ["horizons", "paired_horizons"] if direct else ["macro_mase", "narrative", "subgroups"]
+    for name in forged_tables:
+        whole = spark.read.parquet(f"{out}/{name}")
+        column = [c for c, t in whole.dtypes if t == "double"][-1]
+        rows = [r.asDict() | ({column: (r[column] or 0.0) + 0.5} if k == 0 else {}) for k, r in enumerate(whole.collect())]
+        spark.createDataFrame(rows, whole.schema).write.mode("overwrite").parquet(f"{out}/{name}")
+        manifest["files"][name] = sinks.manifest_entry(spark.read.parquet(f"{out}/{name}"), name)
+    sinks.write_json(f"{out}/run_manifest.json", manifest)
+    assert sorted(forecasting.verify_results(spark, out, bundle[0])) == [f"{name}: does not follow from the predictions and the source" for name in forged_tables]
     forged = spark.read.parquet(f"{out}/metrics").withColumn("mae", F.col("mae") + 1).collect()
     types = spark.read.parquet(f"{out}/metrics").schema
     spark.createDataFrame(forged, types).write.mode("overwrite").parquet(f"{out}/metrics")
     assert len(forecasting.verify_results(spark, out)) == 2
 
 
+def test_runs_leave_the_users_cache(spark, bundle):
+    own = spark.range(10).cache()
+    own.count()
+    assert onboarding.verify_bundle(spark, bundle[0]) == []
+    assert own.storageLevel.useMemory
+    own.unpersist()
+
+
+def test_unlogged_repairs_are_found(panel_of, spark):
+    before, after = panel_of({"a": [1, 2, 3]}), panel_of({"a": [1, 5, 6]})
+    log = after.where("load = 5").selectExpr("timestamp", "building_id", "2.0d AS original_value", "load AS remediated_value")
+    assert [r["timestamp"].hour for r in verify.unlogged(before, after, log).collect()] == [2]
+
+
 def test_config_errors():
     for bad in ({}, FORECAST | {"models": ["x"]}, FORECAST | {"feature_set": "v9"}):
         with pytest.raises(ValueError):
