@@ -149,7 +149,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     if not count:
         return out(urls, F.lit(default))
     blocks = filter_blocks(count)
-    words = bloom_filter(listed, blocks).scalar()
+    words = cut(bloom_filter(listed, blocks)).scalar()  # built once, read by every test below
     own = _canonical(F.col("host"), F.col("path"))
     site = F.concat("host", F.lit("/"))
     parent = F.concat(F.regexp_extract("host", r"^[^.]*\.(.+)$", 1), F.lit("/"))
