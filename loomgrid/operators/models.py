@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null
 from .features import CATEGORICAL, seasonal_naive
+from .quantiles import exact_medians
 
 MODELS = ("seasonal_naive", "hist_gradient_boosting", "random_forest", "ridge")
 
@@ -37,11 +38,10 @@ class Preprocessor:
         self.numeric, self.categorical = list(numeric), list(categorical)
         values = {c: finite_or_null(F.col(c).cast("double")) for c in self.numeric}
         stats = train.agg(
-            *[F.percentile(values[c], F.lit(0.5)).alias(f"{c}__m") for c in self.numeric],
             *[F.count_if(values[c].isNull()).alias(f"{c}__n") for c in self.numeric],
             *[F.mode(F.col(c), deterministic=True).alias(f"{c}__mode") for c in self.categorical],
         ).first()
-        self.medians = {c: stats[f"{c}__m"] for c in self.numeric if stats[f"{c}__m"] is not None}
+        self.medians = {c: m for c, m in exact_medians(train, values).items() if m is not None}
         self.numeric = list(self.medians)
         self.marked = [c for c in self.numeric if stats[f"{c}__n"]]
         self.modes = {c: stats[f"{c}__mode"] for c in self.categorical}

@@ -125,11 +125,19 @@ class Selection:
 
 
 def round_robin(metadata: DataFrame) -> DataFrame:
-    """building_id, site_id, primary_use, turn, place: first of every (site, use), then second, ..."""
+    """building_id, site_id, primary_use, turn, place: first of every (site, use), then second, ...
+
+    Places count within a turn, whose rows are at most one a group, plus the
+    rows of all turns before; only the table of one row a turn is ordered whole.
+    """
     one = keep_first(metadata.where("building_id IS NOT NULL"), ["building_id"], [c for c in metadata.columns if c != "building_id"])
     turn = F.row_number().over(Window.partitionBy("site_id", "primary_use").orderBy("building_id"))
-    place = F.row_number().over(Window.orderBy("turn", F.asc_nulls_last("site_id"), F.asc_nulls_last("primary_use")))
-    return one.withColumn("turn", turn).withColumn("place", place)
+    turned = one.withColumn("turn", turn)
+    before = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = turned.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).select("turn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before__"))
+    place = F.row_number().over(Window.partitionBy("turn").orderBy(F.asc_nulls_last("site_id"), F.asc_nulls_last("primary_use")))
+    placed = turned.withColumn("place", place).join(offsets, "turn").withColumn("place", (F.col("place") + F.col("before__")).cast("long"))
+    return placed.select(*one.columns, "turn", "place")
 
 
 def select_entities(metadata: DataFrame, available: Sequence[str], config: Selection) -> tuple[list[str], list[tuple[str, str]]]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, hour_of_week, is_finite
 from .detectors import QualityConfig, annotate
-from .windows import BEGIN
+from .windows import BEGIN, median
 
 STRATEGIES = ("forward_fill", "forward_then_profile")
 # Reason names in the order they are joined.
@@ -95,7 +95,7 @@ def repair(
     df = df.withColumns(
         {
             "position": F.sum((open_ & ~F.col("valid")).cast("int")).over(island),
-            "history_median": F.percentile(past, F.lit(0.5)).over(history),
+            "history_median": median(past, history, 1),
             "history_rows": F.count(past).over(history),
         }
     )
