@@ -63,6 +63,11 @@ REQUIRED = ("timestamp", "building_id", "load", "site_id", "primary_use")
 SAMPLE = 5
 
 
+def totals(panel: DataFrame) -> Column:
+    """rows, entities of a panel as one scalar subquery; Spark runs equal ones once."""
+    return panel.groupBy().agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count_distinct("building_id").alias("entities"))).scalar()
+
+
 def row_flags(panel: DataFrame, config: QualityConfig, order_by: str | None = None) -> DataFrame:
     """The panel with one boolean column for each row check (named by its code).
 
@@ -76,12 +81,11 @@ def row_flags(panel: DataFrame, config: QualityConfig, order_by: str | None = No
         late = flag(F.col("timestamp") < F.last("timestamp", ignorenulls=True).over(seen))
     else:
         late = F.lit(False)
-    rare = F.lit(False)
+    rare, total = F.lit(False), totals(panel)
     for c in ("site_id", "primary_use"):
         # shares from one row a value; the panel itself is not gathered anywhere
         shares = panel.groupBy(F.col(c).alias(f"{c}__v")).agg(F.count(F.lit(1)).alias(f"{c}__n"))
-        total = shares.groupBy().agg(F.sum(f"{c}__n").alias("all")).scalar()
-        low = shares.where(F.col(f"{c}__n") / total < config.rare_group_fraction).select(f"{c}__v", F.lit(True).alias(f"{c}__rare"))
+        low = shares.where(F.col(f"{c}__n") / total["rows"] < config.rare_group_fraction).select(f"{c}__v", F.lit(True).alias(f"{c}__rare"))
         df = df.join(low, F.col(c) == F.col(f"{c}__v"), "left").drop(f"{c}__v")
         rare = rare | F.coalesce(F.col(f"{c}__rare"), F.lit(False))
     zone = F.col("timezone").isNull() if "timezone" in panel.columns else F.lit(True)
@@ -190,9 +194,9 @@ def quality_checks(panel: DataFrame, config: QualityConfig | None = None, *, sou
     )
     names = [f.split()[0] for f in ISSUE.split(", ")]
     none = F.array().cast("array<map<string,string>>")
-    rows = panel.groupBy().agg(F.count(F.lit(1))).scalar()
+    total = totals(panel)
     issues = specs.join(found, "code", "left").withColumns(
-        {"count": F.coalesce("hits", F.lit(0)), "denominator": rows, "source_condition": F.lit(source), "sample": F.coalesce("sample", none)}
+        {"count": F.coalesce("hits", F.lit(0)), "denominator": total["rows"], "source_condition": F.lit(source), "sample": F.coalesce("sample", none)}
     )
     issues = issues.withColumns(
         {"status": F.when(F.col("count") > 0, F.col("severity")).otherwise("pass"), "rate": F.col("count") / F.greatest("denominator", F.lit(1))}
@@ -200,7 +204,7 @@ def quality_checks(panel: DataFrame, config: QualityConfig | None = None, *, sou
     holes = gaps(panel, config.frequency_hours).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("INTERVAL_CONTINUITY_GAP_n"))
     holes = holes.withColumns(
         {
-            "INTERVAL_CONTINUITY_GAP_d": F.col("INTERVAL_CONTINUITY_GAP_n") + panel.groupBy().agg(F.count(F.lit(1))).scalar(),
+            "INTERVAL_CONTINUITY_GAP_d": F.col("INTERVAL_CONTINUITY_GAP_n") + total["rows"],
             "INTERVAL_CONTINUITY_GAP_s": F.lit(None).cast("array<map<string,string>>"),
         }
     )
@@ -208,7 +212,7 @@ def quality_checks(panel: DataFrame, config: QualityConfig | None = None, *, sou
     unstable = unstable_entities(panel).agg(F.count(F.lit(1)).alias("SUBGROUP_METADATA_INSTABILITY_n"))
     unstable = unstable.withColumns(
         {
-            "SUBGROUP_METADATA_INSTABILITY_d": panel.groupBy().agg(F.count_distinct("building_id")).scalar(),
+            "SUBGROUP_METADATA_INSTABILITY_d": total["entities"],
             "SUBGROUP_METADATA_INSTABILITY_s": F.lit(None).cast("array<map<string,string>>"),
         }
     )

@@ -61,6 +61,31 @@ def corrupted_panel(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("load", load)
 
 
+def messy_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The corrupted panel with hours left out, a time lost by entity, zones lost, a rare site that some entities
+    change to, and an input order (place) in which one hour in fifty comes seven hours late."""
+    hour, h = hour_number(), hour_number() + F.length("building_id")
+    df = corrupted_panel(spark, d).where(h % 89 != 0).withColumn("place", hour * 10 + F.when(hour % 50 == 0, 75).otherwise(0))
+    return df.withColumns(
+        {
+            "site_id": F.when((h % 367 == 5) & (F.length("building_id") > 5), "rare").otherwise(F.col("site_id")),
+            "timezone": F.when(h % 211 != 0, F.col("timezone")),
+            "timestamp": F.when(hour != 600, F.col("timestamp")),
+        }
+    )
+
+
+def zeroed_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The count panel with five hours of zeros every sixty."""
+    return count_panel(spark, d).withColumn("load", F.when(hour_number() % 60 < 5, F.lit(0.0)).otherwise(F.col("load")))
+
+
+def supplier_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Daily quantities of many entities, with their attributes."""
+    joined = P.join_dimension(daily_suppliers(spark, d), supplier_metadata(spark, d))
+    return joined.withColumn("load", F.col("load").cast("double"))
+
+
 def daily_suppliers(spark: SparkSession, d: str) -> DataFrame:
     """Daily quantities of suppliers, a panel of many entities with gaps."""
     return table(spark, d, "lineitem").groupBy(
@@ -98,7 +123,13 @@ HOUR = "(epoch(timestamp - TIMESTAMP '2024-01-01') / 3600)::BIGINT"
 CORRUPTED = f"""{PANEL}, numbered AS (SELECT *, {HOUR} + length(building_id) AS h FROM panel),
 corrupted AS (SELECT * EXCLUDE (load, h), CASE WHEN timestamp < TIMESTAMP '{CUTOFF}' AND h % 97 = 0 THEN NULL
   WHEN timestamp < TIMESTAMP '{CUTOFF}' AND h % 113 = 0 THEN load * 100 WHEN timestamp < TIMESTAMP '{CUTOFF}' AND h % 131 = 0 THEN -load ELSE load END AS load FROM numbered)"""
+MESSY = f"""{CORRUPTED}, messy AS (SELECT CASE WHEN {HOUR} <> 600 THEN timestamp END AS timestamp, building_id, load, primary_use,
+  CASE WHEN ({HOUR} + length(building_id)) % 367 = 5 AND length(building_id) > 5 THEN 'rare' ELSE site_id END AS site_id,
+  CASE WHEN ({HOUR} + length(building_id)) % 211 <> 0 THEN timezone END AS timezone, {HOUR} * 10 + CASE WHEN {HOUR} % 50 = 0 THEN 75 ELSE 0 END AS place
+  FROM corrupted WHERE ({HOUR} + length(building_id)) % 89 <> 0)"""
+ZEROED = f"""{COUNTS}, zeroed AS (SELECT * REPLACE (CASE WHEN {HOUR} % 60 < 5 THEN 0 ELSE load END AS load) FROM panel)"""
 SUPPLIERS = """daily AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp, l_suppkey::VARCHAR AS building_id, sum(l_quantity) AS load FROM lineitem GROUP BY 1, 2),
 meta AS (SELECT s_suppkey::VARCHAR AS building_id, n_name AS site_id, r_name AS primary_use FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 WEATHER = f"""weather AS (SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS timestamp, 'site' || (length(event_type) % 3) AS site_id, round(avg(value), 6) AS air_temperature,
   round(min(value), 6) AS dew_temperature, round(max(value), 6) AS wind_speed FROM events GROUP BY 1, 2) WHERE {HOUR} % 29 <> 0)"""
+SUPPLIER_PANEL = f"""{SUPPLIERS}, panel AS (SELECT timestamp, daily.building_id, load::DOUBLE AS load, site_id, primary_use FROM daily LEFT JOIN meta USING (building_id))"""

@@ -58,8 +58,8 @@ d7 AS (SELECT *, CASE WHEN chg AND member AND cal AND nat >= 2 THEN nat END AS n
 d8 AS (SELECT *, quantile_cont(natrun, {q or 0.5}) OVER (PARTITION BY building_id) AS rq FROM d7),
 d9 AS (SELECT *, {thr} AS eff FROM d8),
 masked AS (SELECT *, load IS NULL AS is_missing, coalesce(load < 0, false) AS is_negative,
-   coalesce(abs(load - med) / (1.4826 * nullif(mad, 0)) > {c.outlier_mad_z}, false) OR coalesce(med > 0 AND (load > {c.level_shift_ratio} * med OR load < med / {c.level_shift_ratio}), false) AS is_outlier,
-   {zero} AS is_long_zero, {stuck} AS is_stuck, coalesce(lvl > 0 AND (load > {c.level_shift_ratio} * lvl OR load < lvl / {c.level_shift_ratio}), false) AS is_level_shift FROM d9)"""
+   timestamp IS NOT NULL AND (coalesce(abs(load - med) / (1.4826 * nullif(mad, 0)) > {c.outlier_mad_z}, false) OR coalesce(med > 0 AND (load > {c.level_shift_ratio} * med OR load < med / {c.level_shift_ratio}), false)) AS is_outlier,
+   {zero} AS is_long_zero, {stuck} AS is_stuck, timestamp IS NOT NULL AND coalesce(lvl > 0 AND (load > {c.level_shift_ratio} * lvl OR load < lvl / {c.level_shift_ratio}), false) AS is_level_shift FROM d9)"""
 
 
 PLAIN = QualityConfig()
@@ -135,9 +135,9 @@ def stuck_calibrated(spark, d):
     return anomaly_masks(count_panel(spark, d), CALIBRATED).where("is_stuck").select(*_KEY)
 
 
-@query(_TAIL + " SELECT timestamp, building_id FROM masked WHERE is_long_zero")
+@query(f"WITH {I.ZEROED}, {masks_sql('zeroed', TAIL)} SELECT timestamp, building_id FROM masked WHERE is_long_zero")
 def zero_run_plain(spark, d):
-    return anomaly_masks(count_panel(spark, d), TAIL).where("is_long_zero").select(*_KEY)
+    return anomaly_masks(I.zeroed_panel(spark, d), TAIL).where("is_long_zero").select(*_KEY)
 
 
 @query(_CAL + " SELECT timestamp, building_id FROM masked WHERE is_long_zero")
@@ -152,11 +152,15 @@ def hour_of_week_profile(spark, d):
 
 # checks and gate ---------------------------------------------------------
 
-_CORR = f"WITH {CORRUPTED}, {masks_sql('corrupted', PLAIN)}"
-_RARE = "0.01"
+_CORR = f"""WITH {I.MESSY}, {masks_sql('messy', PLAIN)}, late AS (SELECT timestamp, building_id, place FROM (SELECT *,
+  last_value(timestamp IGNORE NULLS) OVER (PARTITION BY building_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM messy) WHERE timestamp < seen),
+lesser AS (SELECT timestamp, building_id FROM messy WHERE site_id IN (SELECT site_id FROM messy GROUP BY 1 HAVING count(*) < 0.01 * (SELECT count(*) FROM messy))
+  OR primary_use IN (SELECT primary_use FROM messy GROUP BY 1 HAVING count(*) < 0.01 * (SELECT count(*) FROM messy))),
+holes AS (SELECT sum(epoch(hi - lo) / 3600 + 1 - n)::BIGINT AS n FROM (SELECT min(timestamp) AS lo, max(timestamp) AS hi, count(DISTINCT timestamp) AS n FROM messy GROUP BY building_id)),
+moved AS (SELECT building_id FROM messy GROUP BY 1 HAVING count(DISTINCT site_id) > 1 OR count(DISTINCT primary_use) > 1 OR count(DISTINCT timezone) > 1)"""
 _COUNTS = f"""counted AS (
  SELECT 'TIMESTAMP_PARSE_ERROR' AS code, count(*) FILTER (timestamp IS NULL) AS n, count(*) AS d, 'fail' AS bad FROM masked
- UNION ALL SELECT 'TIMESTAMP_ORDER_ERROR', 0, count(*), 'fail' FROM masked
+ UNION ALL SELECT 'TIMESTAMP_ORDER_ERROR', (SELECT count(*) FROM late), count(*), 'fail' FROM masked
  UNION ALL SELECT 'DUPLICATE_OBSERVATION_KEY', (SELECT coalesce(sum(k), 0) FROM (SELECT count(*) AS k FROM masked GROUP BY timestamp, building_id HAVING count(*) > 1)), count(*), 'fail' FROM masked
  UNION ALL SELECT 'LOAD_MISSING', count(*) FILTER (is_missing), count(*), 'warn' FROM masked
  UNION ALL SELECT 'LOAD_INFINITE', count(*) FILTER (isinf(load)), count(*), 'fail' FROM masked
@@ -167,9 +171,9 @@ _COUNTS = f"""counted AS (
  UNION ALL SELECT 'LEVEL_OR_UNIT_SHIFT', count(*) FILTER (is_level_shift), count(*), 'warn' FROM masked
  UNION ALL SELECT 'METADATA_JOIN_MISSING', count(*) FILTER (site_id IS NULL OR primary_use IS NULL), count(*), 'fail' FROM masked
  UNION ALL SELECT 'TIMEZONE_MISSING', count(*) FILTER (timezone IS NULL), count(*), 'warn' FROM masked
- UNION ALL SELECT 'COVERAGE_RARE_GROUP', 0, count(*), 'warn' FROM masked
- UNION ALL SELECT 'INTERVAL_CONTINUITY_GAP', 0, count(*), 'warn' FROM masked
- UNION ALL SELECT 'SUBGROUP_METADATA_INSTABILITY', 0, count(DISTINCT building_id), 'fail' FROM masked)"""
+ UNION ALL SELECT 'COVERAGE_RARE_GROUP', (SELECT count(*) FROM lesser), count(*), 'warn' FROM masked
+ UNION ALL SELECT 'INTERVAL_CONTINUITY_GAP', (SELECT n FROM holes), (SELECT n FROM holes) + count(*), 'warn' FROM masked
+ UNION ALL SELECT 'SUBGROUP_METADATA_INSTABILITY', (SELECT count(*) FROM moved), count(DISTINCT building_id), 'fail' FROM masked)"""
 RULES = {
     "LOAD_MISSING": {"basis": "rate", "warn_above": 0.0, "fail_above": 0.9},
     "NEGATIVE_LOAD": {"basis": "count", "warn_above": 0, "fail_above": 100000},
@@ -178,7 +182,7 @@ RULES = {
 
 
 def _issues(spark, d):
-    return Q.quality_checks(corrupted_panel(spark, d), PLAIN)
+    return Q.quality_checks(I.messy_panel(spark, d), PLAIN, order_by="place")
 
 
 @query(_CORR + f", {_COUNTS} SELECT code, CASE WHEN n > 0 THEN bad ELSE 'pass' END AS status, n::BIGINT AS count, d::BIGINT AS denominator, round(n / d, 9) AS rate FROM counted")
@@ -204,15 +208,17 @@ def gate_rollup(spark, d):
     return Q.gate(Q.apply_thresholds(_issues(spark, d), RULES))
 
 
-_SAMPLED = """s AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY timestamp, building_id) - 1 AS sample_index, timestamp, building_id FROM (
+_SAMPLED = """s AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY timestamp NULLS FIRST, building_id) - 1 AS sample_index, timestamp, building_id FROM (
  SELECT 'LOAD_MISSING' AS code, timestamp, building_id FROM masked WHERE is_missing UNION ALL SELECT 'NEGATIVE_LOAD', timestamp, building_id FROM masked WHERE is_negative
  UNION ALL SELECT 'ROBUST_OUTLIER', timestamp, building_id FROM masked WHERE is_outlier UNION ALL SELECT 'LONG_ZERO_RUN', timestamp, building_id FROM masked WHERE is_long_zero
- UNION ALL SELECT 'STUCK_SENSOR', timestamp, building_id FROM masked WHERE is_stuck UNION ALL SELECT 'LEVEL_OR_UNIT_SHIFT', timestamp, building_id FROM masked WHERE is_level_shift))"""
+ UNION ALL SELECT 'STUCK_SENSOR', timestamp, building_id FROM masked WHERE is_stuck UNION ALL SELECT 'LEVEL_OR_UNIT_SHIFT', timestamp, building_id FROM masked WHERE is_level_shift
+ UNION ALL SELECT 'TIMESTAMP_PARSE_ERROR', timestamp, building_id FROM masked WHERE timestamp IS NULL UNION ALL SELECT 'TIMEZONE_MISSING', timestamp, building_id FROM masked WHERE timezone IS NULL
+ UNION ALL SELECT 'TIMESTAMP_ORDER_ERROR', timestamp, building_id FROM late UNION ALL SELECT 'COVERAGE_RARE_GROUP', timestamp, building_id FROM lesser))"""
 
 
 @query(_CORR + f", {_SAMPLED} SELECT code, sample_index::BIGINT AS sample_index, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, building_id FROM s WHERE sample_index < 5")
 def issue_samples_top5(spark, d):
-    log = Q.issue_log(_issues(spark, d)).where("timestamp IS NOT NULL")
+    log = Q.issue_log(_issues(spark, d)).where("building_id IS NOT NULL")
     return log.select("code", F.col("sample_index").cast("long").alias("sample_index"), "timestamp", "building_id")
 
 
@@ -325,6 +331,25 @@ def _repaired(spark, d):
     return repair(corrupted_panel(spark, d), REPAIR, repair_before=CUTOFF, strategy="forward_then_profile", profile_weeks=3)
 
 
+SUPPLIER_QUALITY = QualityConfig(causal_window=24, stuck_threshold=2, outlier_mad_z=6.0, level_shift_ratio=4.0, frequency_hours=24)
+SUPPLIER_CUT = "1996-01-01 00:00:00"
+_MANY = f"WITH {I.SUPPLIER_PANEL}, {masks_sql('panel', SUPPLIER_QUALITY)}"
+_MANY_REPAIR = f"WITH {I.SUPPLIER_PANEL}, {repair_sql('panel', SUPPLIER_QUALITY, SUPPLIER_CUT, 3, 48, 8, True)}"
+
+
+@query(_MANY + " SELECT timestamp, building_id, load, is_outlier, is_stuck, is_level_shift FROM masked WHERE is_outlier OR is_stuck OR is_level_shift")
+def many_entity_masks(spark, d):
+    """The detectors where entities are many and each has gaps."""
+    found = anomaly_masks(I.supplier_panel(spark, d), SUPPLIER_QUALITY)
+    return found.where("is_outlier OR is_stuck OR is_level_shift").select(*_KEY, "load", "is_outlier", "is_stuck", "is_level_shift")
+
+
+@query(_MANY_REPAIR + " SELECT building_id, status, reason, count(*) AS rows, round(sum(load), 4) AS load FROM done GROUP BY 1, 2, 3")
+def many_entity_repair(spark, d):
+    done = repair(I.supplier_panel(spark, d), SUPPLIER_QUALITY, repair_before=SUPPLIER_CUT, strategy="forward_then_profile", profile_weeks=8)
+    return done.groupBy("building_id", "status", "reason").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("load"), 4).alias("load"))
+
+
 @query(_REPAIR + " SELECT status, reason, count(*) AS rows FROM done GROUP BY 1, 2")
 def repair_status(spark, d):
     return _repaired(spark, d).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("rows"))

@@ -131,8 +131,8 @@ _COND = f"""{CORRUPTED}, fixed AS (SELECT timestamp, building_id, site_id, prima
   SELECT panel.*, corrupted.load AS c, lag(panel.load, 24) OVER (PARTITION BY panel.building_id ORDER BY panel.timestamp) AS y FROM panel JOIN corrupted USING (timestamp, building_id))),
 cond AS (SELECT 'reference' AS condition, timestamp, building_id, site_id, primary_use, load FROM panel UNION ALL SELECT 'corrupted', timestamp, building_id, site_id, primary_use, load FROM corrupted UNION ALL SELECT 'remediated', timestamp, building_id, site_id, primary_use, load FROM fixed),
 lagged AS (SELECT *, coalesce(lag(load, 168) OVER w, lag(load, 24) OVER w) AS naive, lag(load, 24) OVER w AS day FROM cond WINDOW w AS (PARTITION BY condition, building_id ORDER BY timestamp)),
-forecast AS (SELECT condition, 'seasonal_naive' AS model, timestamp, building_id, site_id, primary_use, naive AS prediction FROM lagged WHERE timestamp > TIMESTAMP '2024-01-14 23:00:00'
-  UNION ALL SELECT condition, 'yesterday', timestamp, building_id, site_id, primary_use, day FROM lagged WHERE timestamp > TIMESTAMP '2024-01-14 23:00:00'),
+forecast AS (SELECT condition, 'seasonal_naive' AS model, timestamp, building_id, site_id, primary_use, naive AS prediction FROM lagged WHERE timestamp > (SELECT min(timestamp) FROM panel) + INTERVAL 335 HOUR
+  UNION ALL SELECT condition, 'yesterday', timestamp, building_id, site_id, primary_use, day FROM lagged WHERE timestamp > (SELECT min(timestamp) FROM panel) + INTERVAL 335 HOUR),
 paired AS (SELECT f.*, p.load AS target FROM forecast f JOIN panel p USING (timestamp, building_id) WHERE f.prediction IS NOT NULL AND p.load IS NOT NULL),
 pred AS (SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY timestamp, building_id) AS n FROM paired) WHERE n = 6),
 diffs AS (SELECT building_id, abs(load - lag(load, 168) OVER (PARTITION BY building_id ORDER BY timestamp)) AS x FROM panel WHERE timestamp <= TIMESTAMP '{TRAIN_END}'),
@@ -142,13 +142,19 @@ _M = """count(*) AS n, round(avg(abs(prediction - target)), 6) AS mae, round(sqr
 _METRICS = ("mae", "rmse", "wmape", "mase", "r2")
 
 
+def after_two_weeks(df, panel):
+    """Hours from the panel's fifteenth day on, where both naive forecasts can look back."""
+    first = panel.groupBy().agg(F.min("timestamp")).scalar()
+    return df.where(F.col("timestamp") > first + F.expr("INTERVAL 335 HOUR"))
+
+
 def predictions(spark, d):
     """Seasonal naive and yesterday's value from every condition, on common finite keys."""
     from ..operators.windows import Window
 
     w = Window.partitionBy("condition", "building_id").orderBy("timestamp")
     df = conditions(spark, d).withColumns({"lag_168": F.lag("load", 168).over(w), "lag_24": F.lag("load", 24).over(w)})
-    df = df.where(F.col("timestamp") > F.lit("2024-01-14 23:00:00").cast("timestamp_ntz"))
+    df = after_two_weeks(df, value_panel(spark, d))
     both = F.inline(F.array(F.struct(F.lit("seasonal_naive").alias("model"), FE.seasonal_naive(df).alias("prediction")), F.struct(F.lit("yesterday").alias("model"), F.col("lag_24").alias("prediction"))))
     long = df.select("condition", *_KEY, "site_id", "primary_use", both)
     return E.common_keys(E.attach_targets(long, value_panel(spark, d)), 6)
@@ -177,7 +183,7 @@ def seasonal_naive(spark, d):
 
     w = Window.partitionBy("condition", "building_id").orderBy("timestamp")
     df = conditions(spark, d).withColumns({"lag_168": F.lag("load", 168).over(w), "lag_24": F.lag("load", 24).over(w)})
-    return df.where(F.col("timestamp") > F.lit("2024-01-14 23:00:00").cast("timestamp_ntz")).select("condition", *_KEY, FE.seasonal_naive(df).alias("prediction"))
+    return after_two_weeks(df, value_panel(spark, d)).select("condition", *_KEY, FE.seasonal_naive(df).alias("prediction"))
 
 
 @query(f"WITH {_COND} SELECT round(scale, 6) AS scale FROM scale")
@@ -264,7 +270,7 @@ def predictions_all(spark, d):
 
     w = Window.partitionBy("condition", "building_id").orderBy("timestamp")
     df = conditions(spark, d).withColumns({"lag_168": F.lag("load", 168).over(w), "lag_24": F.lag("load", 24).over(w)})
-    df = df.where(F.col("timestamp") > F.lit("2024-01-14 23:00:00").cast("timestamp_ntz"))
+    df = after_two_weeks(df, value_panel(spark, d))
     both = F.inline(F.array(F.struct(F.lit("seasonal_naive").alias("model"), FE.seasonal_naive(df).alias("prediction")), F.struct(F.lit("yesterday").alias("model"), F.col("lag_24").alias("prediction"))))
     return E.attach_targets(df.select("condition", *_KEY, "site_id", "primary_use", both), value_panel(spark, d))
 

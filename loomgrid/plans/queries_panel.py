@@ -12,8 +12,8 @@ from ..operators import weather as W
 from ..operators.detectors import QualityConfig
 from ..operators.features import irregular_steps
 from .inputs import (
-    CORRUPTED, GRID, HOUR, PANEL, RAW, SUPPLIERS, TRAIN_END, VALIDATION_END, WEATHER, corrupted_panel,
-    daily_suppliers, hour_number, raw_panel, supplier_metadata, table, value_panel, weather,
+    CORRUPTED, GRID, HOUR, MESSY, PANEL, RAW, SUPPLIERS, TRAIN_END, VALIDATION_END, WEATHER, corrupted_panel,
+    daily_suppliers, hour_number, messy_panel, raw_panel, supplier_metadata, table, value_panel, weather,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -166,13 +166,11 @@ def coverage_totals(spark, d):
     return Q.coverage_totals(value_panel(spark, d))
 
 
-@query("""SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER w AS dummy, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) WHERE ts < before""")
+@query(f"""WITH {MESSY} SELECT timestamp, building_id, place FROM (SELECT *, last_value(timestamp IGNORE NULLS) OVER (PARTITION BY building_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM messy) WHERE timestamp < seen""")
 def order_violations(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "events")
-    seen = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumn("before", F.last("ts", ignorenulls=True).over(seen)).where("ts < before").select("event_id")
+    flags = Q.row_flags(messy_panel(spark, d), QualityConfig(causal_window=24), order_by="place")
+    return flags.where("TIMESTAMP_ORDER_ERROR").select("timestamp", "building_id", "place")
 
 
 @query(f"""WITH {SUPPLIERS}, t AS (SELECT *, row_number() OVER (PARTITION BY site_id, primary_use ORDER BY building_id) AS turn FROM meta)
