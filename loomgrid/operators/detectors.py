@@ -35,8 +35,8 @@ class QualityConfig:
     zero_profile_min_ratio: float | None = None
     profile_weeks: int = 8
     calibration_end: str | None = None
-    #: Frozen thresholds by entity; they replace the quantile of the inspected rows.
-    stuck_thresholds_by_building: Mapping[str, int] | None = field(default=None, compare=False)
+    #: Frozen thresholds by entity (a table of building_id, stuck_threshold for many); they replace the quantile of the inspected rows.
+    stuck_thresholds_by_building: Mapping[str, int] | DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if self.run_flagging not in ("tail", "whole_run"):
@@ -113,9 +113,12 @@ def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
         measured = F.greatest(threshold, F.ceil(quantile).cast("int") + 1)
         source = F.when(quantile.isNotNull(), "quantile_on_inspected_frame").otherwise(source)
         threshold = F.when(quantile.isNotNull(), measured).otherwise(threshold)
-    if config.stuck_thresholds_by_building:
-        pairs = [F.lit(v) for k, n in config.stuck_thresholds_by_building.items() for v in (str(k), int(n))]
-        fixed = F.try_element_at(F.create_map(*pairs), F.coalesce(key, F.lit("")))
+    if config.stuck_thresholds_by_building is not None:
+        frozen = config.stuck_thresholds_by_building
+        if not isinstance(frozen, DataFrame):
+            frozen = panel.sparkSession.createDataFrame([(str(k), int(n)) for k, n in frozen.items()], "building_id string, stuck_threshold int")
+        df = df.join(frozen.select("building_id", F.col("stuck_threshold").alias("stuck_frozen")), "building_id", "left")
+        fixed = F.col("stuck_frozen")
         threshold = F.when(fixed.isNotNull(), F.greatest(F.lit(config.stuck_threshold), fixed)).otherwise(threshold)
         source = F.when(fixed.isNotNull(), "reference_calibration").otherwise(source)
     df = df.withColumns({"run_quantile": quantile, "stuck_effective": threshold, "calibration_source": source})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +51,19 @@ def _training(panel: DataFrame, s: split.Split) -> DataFrame:
 
 
 PAIR = ["condition", "model"]
+#: Rows of a group that one worker resamples, unless the configuration says otherwise.
+GATHER_ROWS = 1_000_000
 
 
 def _interval(raw: dict[str, Any], rows: DataFrame, value: str, by: Sequence[str], by_index: bool = False) -> DataFrame:
-    """Row intervals: exact resampling of gathered groups, or for large groups ``"bootstrap": "poisson"``."""
+    """Row intervals. ``"bootstrap"`` is "exact" (a group's rows are resampled by one worker), "poisson" (no group
+    is gathered) or "auto": exact unless the largest group has more than ``"bootstrap_gather_rows"`` rows."""
     reps, seed = int(raw["bootstrap_repetitions"]), int(raw["seed"])
-    if raw.get("bootstrap", "exact") == "poisson":
+    form = raw.get("bootstrap", "auto")
+    if form == "auto":
+        largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        form = "poisson" if largest > int(raw.get("bootstrap_gather_rows", GATHER_ROWS)) else "exact"
+    if form == "poisson":
         return B.poisson_bootstrap(rows, value, by, [*KEYS, "model"], reps, seed)
     return B.row_bootstrap(rows, value, by, KEYS, reps, seed, by_index)
 
@@ -164,11 +170,13 @@ def run(spark: SparkSession, bundle: str, config: str | dict[str, Any], output:
     result["source_revision"] = reports.source_revision()
     sinks.write_json(f"{output}/run_manifest.json", result)
     small = {n: [r.asDict() for r in spark.read.parquet(f"{output}/{n}").collect()] for n in ("metrics", "paired", "narrative", "horizons") if n in tables}
-    Path(output, "report.md").write_text(reports.forecast_report(small), encoding="utf-8")
-    Path(output, "mae.svg").write_text(reports.bars(small["metrics"], "mae", "Mean absolute error"), encoding="utf-8")
-    Path(output, "mase.svg").write_text(reports.bars(small["metrics"], "mase", "Scaled error"), encoding="utf-8")
+    sinks.write_text(f"{output}/report.md", reports.forecast_report(small))
+    sinks.write_text(f"{output}/mae.svg", reports.bars(small["metrics"], "mae", "Mean absolute error"))
+    sinks.write_text(f"{output}/mase.svg", reports.bars(small["metrics"], "mase", "Scaled error"))
     if "horizons" in small:
-        Path(output, "horizons.svg").write_text(reports.lines(small["horizons"], "horizon_hours", "mae", "Error by horizon"), encoding="utf-8")
+        sinks.write_text(f"{output}/horizons.svg", reports.lines(small["horizons"], "horizon_hours", "mae", "Error by horizon"))
+    if raw.get("csv_copies"):
+        sinks.write_csv(spark.read.parquet(f"{output}/predictions"), f"{output}/csv/predictions", FORECAST_KEYS if direct else KEYS)
     tables["predictions"].unpersist()
     if bad := verify_results(spark, output, bundle):
         raise ValueError(f"the result does not verify: {bad}")

@@ -6,8 +6,8 @@ invariants and the writes. Conditions between them are cached or written once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +60,12 @@ class Config:
         )
 
 
-def frozen(panel: DataFrame, config: QualityConfig) -> tuple[DataFrame, QualityConfig]:
-    """Thresholds measured once on the reference, then fixed for all conditions."""
+def frozen(panel: DataFrame, config: QualityConfig, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, QualityConfig]:
+    """Thresholds measured once on the reference, then fixed for all conditions: a table that joins the panels."""
     if config.stuck_calibration_quantile is None:
         return calibration_table(panel, config), config
-    measured = calibration_table(panel, config).select("building_id", "stuck_threshold_effective").collect()
-    fixed = replace(config, stuck_thresholds_by_building={r[0]: r[1] for r in measured})
+    measured = calibration_table(panel, config).select("building_id", F.col("stuck_threshold_effective").alias("stuck_threshold"))
+    fixed = replace(config, stuck_thresholds_by_building=kept(measured))
     return calibration_table(panel, fixed), fixed
 
 
@@ -75,6 +75,14 @@ def checked(panel: DataFrame, config: Config, quality: QualityConfig, source: st
     return Q.apply_thresholds(issues, config.gate_rules)
 
 
+def mark_seeded(log: DataFrame, faults: DataFrame) -> DataFrame:
+    """The issue log with seeded_fault: the sample's key is one of the injected faults, in the corrupted condition."""
+    keys = faults.select(F.col("timestamp").cast("string").alias("timestamp"), "building_id").distinct().withColumn("hit__", F.lit(True))
+    marked = log.join(keys, ["timestamp", "building_id"], "left")
+    seeded = F.coalesce(F.col("hit__"), F.lit(False)) & (F.col("source_condition") == "corrupted")
+    return marked.select(*log.columns, seeded.alias("seeded_fault"))
+
+
 def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadata_csv: str, output: str, weather_csv: str | None = None, source_manifest: dict[str, Any] | None = None) -> dict[str, Any]:
     """Publish reference, corrupted and remediated; returns the run's summary. Raises Blocked at the gate."""
     config = Config.of(raw_config)
@@ -96,7 +104,7 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
 
     internal = kept(got["panel"])
     try:
-        calibration, quality = frozen(internal, config.quality)
+        calibration, quality = frozen(internal, config.quality, kept)
         issues = kept(checked(internal, config, quality, "reference", got["issues"]))
         verdict = Q.gate(issues).first()
         if verdict["status"] == "fail":
@@ -128,12 +136,18 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
         tables = {
             "fault_keys": suite.faults, "fault_events": FA.events(suite.faults), "remediation_log": repair_log(done), "quarantine": quarantine(done),
             "detector_calibration": calibration, "detector_metrics": metrics,
-            "issues": Q.issue_log(issues.unionByName(checked(zoned(corrupted), config, quality, "corrupted")).unionByName(checked(zoned(remediated), config, quality, "remediated"))),
+            "issues": mark_seeded(
+                Q.issue_log(issues.unionByName(checked(zoned(corrupted), config, quality, "corrupted")).unionByName(checked(zoned(remediated), config, quality, "remediated"))),
+                suite.faults,
+            ),
         }
         if weather_csv:
             bounds = reference.agg(F.min("timestamp"), F.max("timestamp")).first()
             sites = [r[0] for r in reference.where("site_id IS NOT NULL").select("site_id").distinct().collect()]
             tables["weather"] = W.prepare(readers.weather(spark, weather_csv), sites, str(bounds[0]), str(bounds[1]))
+        if raw_config.get("csv_copies"):
+            for name in ("reference", "corrupted", "remediated"):
+                sinks.write_csv(readers_condition(spark, output, name), f"{output}/csv/{name}", KEYS)
         entries = {}
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{output}/{name}")
@@ -148,9 +162,9 @@ def run(spark: SparkSession, raw_config: dict[str, Any], meter_csv: str, metadat
         summary["repairs_outside_faults"] = verify.footprint(corrupted, remediated, suite.faults).count()
         summary["source_revision"] = reports.source_revision()
         sinks.write_json(f"{output}/dataset_manifest.json", summary)
-        Path(output, "data_card.md").write_text(reports.data_card(summary), encoding="utf-8")
+        sinks.write_text(f"{output}/data_card.md", reports.data_card(summary))
         found = [r.asDict() for r in spark.read.parquet(f"{output}/detector_metrics").orderBy("fault_type").collect()]
-        Path(output, "report.md").write_text(reports.onboarding_report(summary, found), encoding="utf-8")
+        sinks.write_text(f"{output}/report.md", reports.onboarding_report(summary, found))
         return summary
     finally:
         for df in own:

@@ -25,8 +25,17 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+#: Fixed value: a time of day that ends in an offset from UTC.
+OFFSET = r"\d{2}:\d{2}\S*\s*(Z|z|[+-]\d{2}(:?\d{2})?)$"
+
+
 def _parsed(c: str):
-    return F.col(f"`{c}`").try_cast("timestamp_ntz")
+    """A wall-clock time; text with an offset is turned to UTC, whatever the session's zone."""
+    text = F.trim(F.col(f"`{c}`"))
+    micros = F.unix_micros(text.try_cast("timestamp")).cast("decimal(18,0)")
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)"))
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+    return F.when(text.rlike(OFFSET), utc).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -63,7 +72,9 @@ def selected_wide(spark: SparkSession, path: str, buildings: Sequence[str], time
         raise ValueError("the meter file has no timestamp column")
     rows = raw.select(F.col(f"`{ts}`").alias("_raw_timestamp"), _parsed(ts).alias("timestamp"), *[f"`{b}`" for b in buildings])
     if maximum_source_rows is not None:
-        rows = rows.limit(maximum_source_rows)
+        # the first rows by file and place in it, however the files are split
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        rows = rows.select("*", place.alias("place__")).orderBy("place__").limit(maximum_source_rows).drop("place__")
     long = wide_to_long(rows, ["_raw_timestamp", "timestamp"], buildings)
     return long.withColumn("load", no_nan(F.col("load").try_cast("double")))
 
@@ -134,7 +145,9 @@ def condition(spark: SparkSession, path: str, expected: str | None = None) -> Da
 
 
 def read_json(path: str) -> dict[str, Any]:
-    value = json.loads(Path(path).read_text(encoding="utf-8"))
+    local = Path(path)
+    text = local.read_text(encoding="utf-8") if local.exists() else SparkSession.active().read.text(path, wholetext=True).first()[0]
+    value = json.loads(text)
     if not isinstance(value, dict):
         raise ValueError(f"{path} does not hold an object")
     return value

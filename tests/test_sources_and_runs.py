@@ -281,3 +281,57 @@ def test_reports():
     text = reports.findings([{"model": "m", "corruption_effect": 0.5, "repair_effect": None, "recovery": "partial"}])
     assert "+50.0 %" in text and "undefined" in text and "partial" in text
     assert reports.source_revision() == reports.source_revision()
+
+
+def test_offsets_are_turned_to_utc(spark, tmp_path):
+    times = ["2024-03-31 02:30:00", "2024-03-31T02:30:00Z", "2024-03-31T02:30:00+02:00", "2024-03-31 02:30:00.25-0530", "2024-03-31", "soon"]
+    (tmp_path / "m.csv").write_text("timestamp,building_id,load\n" + "".join(f"{t},b,1\n" for t in times))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = [str(r[0]) for r in readers.meters(spark, str(tmp_path / "m.csv")).collect()]
+            assert got == ["2024-03-31 02:30:00", "2024-03-31 02:30:00", "2024-03-31 00:30:00", "2024-03-31 08:00:00.250000", "2024-03-31 00:00:00", "None"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_the_row_limit_takes_the_first_rows_of_the_file(spark, tmp_path):
+    lines = [f"2024-01-01 00:00:00,{i}" for i in range(3000)]
+    (tmp_path / "w.csv").write_text("timestamp,b\n" + "\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = readers.selected_wide(spark, str(tmp_path / "w.csv"), ["b"], None, 700)
+        assert sorted(r["load"] for r in got.collect()) == [float(i) for i in range(700)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_seeded_samples_are_marked(spark):
+    log = spark.createDataFrame([("2024-01-01 00:00:00", "b", "corrupted"), ("2024-01-01 00:00:00", "b", "reference"), (None, None, "corrupted"), ("2024-01-01 01:00:00", "b", "corrupted")], "timestamp string, building_id string, source_condition string")
+    faults = spark.createDataFrame([("2024-01-01 00:00:00", "b")] * 2, "timestamp string, building_id string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    got = onboarding.mark_seeded(log, faults).collect()
+    assert sorted(r["seeded_fault"] for r in got) == [False, False, False, True]
+    assert [r["source_condition"] for r in got if r["seeded_fault"]] == ["corrupted"]
+
+
+def test_texts_are_written_again_over_themselves_and_read_from_any_store(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/j.json"
+    for n in (1, 2):
+        sinks.write_json(path, {"n": n})
+        assert readers.read_json(path) == {"n": n}
+    sinks.empty_target(f"file://{tmp_path}/new")
+    with pytest.raises(FileExistsError):
+        sinks.empty_target(f"file://{tmp_path}/deep")
+
+
+def test_large_groups_take_the_poisson_form(spark, monkeypatch):
+    rows = spark.createDataFrame([("m", float(i), f"2024-01-01 00:00:0{i}", "b") for i in range(5)], "model string, error double, timestamp string, building_id string")
+    forms = []
+    monkeypatch.setattr(forecasting.B, "poisson_bootstrap", lambda *a: forms.append("poisson"))
+    monkeypatch.setattr(forecasting.B, "row_bootstrap", lambda *a: forms.append("exact"))
+    raw = {"bootstrap_repetitions": 3, "seed": 1}
+    for more in ({}, {"bootstrap_gather_rows": 4}, {"bootstrap": "exact", "bootstrap_gather_rows": 4}, {"bootstrap": "poisson"}):
+        forecasting._interval({**raw, **more}, rows, "error", ["model"])
+    assert forms == ["exact", "poisson", "exact", "poisson"]
