@@ -51,8 +51,6 @@ FULL_SAMPLE = 64
 BROADCAST_CELLS = 1_000_000
 #: Up to so many members a cell is compared whole, beyond by a search that gives a spanning tree.
 SMALL = 128
-#: Up to so many members a cell is compared whole, beyond by a search that gives a spanning tree.
-SMALL = 128
 
 
 def fingerprint(text: str | None) -> int:
@@ -154,23 +152,6 @@ def _small(which: np.ndarray, first: np.ndarray, size: np.ndarray, fp: np.ndarra
     return out
 
 
-def _small(which: np.ndarray, first: np.ndarray, size: np.ndarray, fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All links in the runs ``which`` of at most SMALL members, one distance between places at a time."""
-    if not len(which):
-        return []
-    n = size[which]
-    run = np.repeat(np.arange(len(which)), n)
-    own = fp[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(len(run))]
-    unary, out = _unary(own), []
-    for d in range(1, int(n.max())):
-        at = np.flatnonzero(run[:-d] == run[d:])
-        at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= max_bits]
-        at = at[np.bitwise_count(own[at] ^ own[at + d]) <= max_bits]
-        if len(at):
-            out.append((own[at], own[at + d]))
-    return out
-
-
 def _bucket_links(max_bits: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(bucket: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
