@@ -10,13 +10,15 @@ from ..operators.repair import repair
 from . import inputs
 from .queries_detect import ORACLES as _DETECT_SQL
 from .queries_detect import QUERIES as _DETECT
+from .queries_files import ORACLES as _FILES_SQL
+from .queries_files import QUERIES as _FILES
 from .queries_forecast import ORACLES as _FORECAST_SQL
 from .queries_forecast import QUERIES as _FORECAST
 from .queries_panel import ORACLES as _PANEL_SQL
 from .queries_panel import QUERIES as _PANEL
 
-QUERIES = {**_PANEL, **_DETECT, **_FORECAST}
-ORACLES = {**_PANEL_SQL, **_DETECT_SQL, **_FORECAST_SQL}
+QUERIES = {**_PANEL, **_DETECT, **_FORECAST, **_FILES}
+ORACLES = {**_PANEL_SQL, **_DETECT_SQL, **_FORECAST_SQL, **_FILES_SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

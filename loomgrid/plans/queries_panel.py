@@ -141,10 +141,10 @@ _SPLIT_DAY = "1995-06-17 00:00:00"
 def _late_suppliers(spark, d):
     p = P.join_dimension(daily_suppliers(spark, d), supplier_metadata(spark, d))
     n = F.col("building_id").cast("int")
-    return p.where((n % 9 != 0) | (F.col("timestamp") < F.lit(_SPLIT_DAY).cast("timestamp_ntz"))).where((F.col("site_id") != "BRAZIL") | (F.col("timestamp") >= F.lit(_SPLIT_DAY).cast("timestamp_ntz")))
+    return p.where((n % 9 != 0) | (F.col("timestamp") < F.lit(_SPLIT_DAY).cast("timestamp_ntz"))).where((F.col("site_id") != "NATION_3") | (F.col("timestamp") >= F.lit(_SPLIT_DAY).cast("timestamp_ntz")))
 
 
-_LATE = f"""p AS (SELECT daily.*, site_id, primary_use FROM daily LEFT JOIN meta USING (building_id) WHERE (building_id::INT % 9 <> 0 OR timestamp < TIMESTAMP '{_SPLIT_DAY}') AND (site_id <> 'BRAZIL' OR timestamp >= TIMESTAMP '{_SPLIT_DAY}'))"""
+_LATE = f"""p AS (SELECT daily.*, site_id, primary_use FROM daily LEFT JOIN meta USING (building_id) WHERE (building_id::INT % 9 <> 0 OR timestamp < TIMESTAMP '{_SPLIT_DAY}') AND (site_id <> 'NATION_3' OR timestamp >= TIMESTAMP '{_SPLIT_DAY}'))"""
 
 
 @query(f"""WITH {SUPPLIERS}, {_LATE}, g AS (SELECT 'SPLIT_BUILDING_COVERAGE' AS code, 'fail' AS bad, building_id AS k, bool_or(timestamp < TIMESTAMP '{_SPLIT_DAY}') AND bool_or(timestamp >= TIMESTAMP '{_SPLIT_DAY}') AS ok FROM p GROUP BY building_id

@@ -123,7 +123,7 @@ def ingest_selected(spark: SparkSession, meter_path: str, metadata_path: str, se
 def condition(spark: SparkSession, path: str, expected: str | None = None) -> DataFrame:
     """A published condition; raises on anything the contract excludes.
 
-    Parquet (a folder) or CSV by the file's ending.
+    Parquet (a folder, or the folder of one condition in the table of all) or CSV by the file's ending.
     """
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
         raw = _csv(spark, path)
@@ -132,7 +132,9 @@ def condition(spark: SparkSession, path: str, expected: str | None = None) -> Da
         named = F.col("condition") if "condition" in raw.columns else F.lit(expected)
         df = raw.select(_parsed("timestamp").alias("timestamp"), text_or_null(F.col("building_id")).alias("building_id"), no_nan(F.col("load").try_cast("double")).alias("load"), "site_id", "primary_use", named.alias("condition"))
     else:
-        df = spark.read.schema(PANEL).parquet(path)
+        whole, _, part = path.rstrip("/").rpartition("/")
+        reader = spark.read.schema(PANEL)
+        df = (reader.option("basePath", whole) if part.startswith("condition=") else reader).parquet(path)
     wrong = F.col("condition").isNull() | ~F.col("condition").isin(*([expected] if expected else CONDITIONS))
     bad = df.agg(F.count_if(F.col("timestamp").isNull()), F.count_if(F.col("building_id").isNull()), F.count_if(wrong)).first()
     for n, what in zip(bad, ("timestamps that cannot be read", "empty building ids", "rows of another condition")):
