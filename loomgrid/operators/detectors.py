@@ -1,8 +1,8 @@
 """Causal anomaly masks and the calibration of the stuck-sensor rule.
 
-One plan for all masks: rows are hashed by entity once, every window below is
-keyed by the entity (or by the entity and a run), so Spark needs no further
-exchange. Readings without a timestamp sort last, where no causal frame sees
+One plan for all masks: rows are hashed by entity once, into as many tasks as
+their number asks, every window below is keyed by the entity (or by the entity
+and a run), so Spark needs no further exchange. Readings without a timestamp sort last, where no causal frame sees
 them, and are flagged only by what their value alone shows.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, finite_or_null, flag, hour_of_week, no_nan
-from .windows import median, ordered, rolling, run_id, run_length, run_position, running
+from .windows import by_entity, median, ordered, rolling, run_id, run_length, run_position, running
 
 MASKS = ("missing", "infinite", "negative", "outlier", "long_zero", "stuck", "level_shift")
 
@@ -59,8 +59,11 @@ def _shifted(load: Column, level: Column, factor: float) -> Column:
     return (level > 0) & ((load > level * factor) | (load < level / factor))
 
 
-def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
-    """The panel with ``is_<mask>`` for all masks and the run columns the calibration reads."""
+def annotate(panel: DataFrame, config: QualityConfig, tasks: int | None = None) -> DataFrame:
+    """The panel with ``is_<mask>`` for all masks and the run columns the calibration reads.
+
+    The panel is counted for the number of its tasks, unless that is given.
+    """
     w = ordered("building_id")
     key, ts, x = F.col("building_id"), F.col("timestamp"), F.col("x")
     dated = ts.isNotNull()
@@ -68,8 +71,8 @@ def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
     boundary = F.lit(config.calibration_end).cast("timestamp_ntz") if config.calibration_end else None
     in_calibration = dated & (flag(ts < boundary) if boundary is not None else F.lit(True))
 
-    df = panel.repartition("building_id").withColumn("x", no_nan(F.col("load").cast("double")))
-    df = df.withColumn("prior", F.lag("x", 1).over(w))
+    df = by_entity(panel, tasks).withColumn("x", no_nan(F.col("load").cast("double")))
+    df = df.withColumns({"prior": F.lag("x", 1).over(w), "place": F.row_number().over(w)})
     prior_finite = finite_or_null(F.col("prior"))
     df = df.withColumns(
         {
@@ -86,7 +89,6 @@ def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
         {
             "deviation": deviation,
             "constant_run": running(F.col("changes"), w),
-            "repeat_run": run_id(F.col("repeats"), w),
             "zero_run": run_id(F.col("is_zero"), w),
         }
     )
@@ -97,8 +99,8 @@ def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
             "mad": rolling(F.col("deviation"), "median", config.causal_window, least, w),
             "run_rows": F.count(F.lit(1)).over(run),
             "zero_length": run_length(F.col("is_zero"), key, F.col("zero_run")),
-            "zero_position": run_position(F.col("is_zero"), key, F.col("zero_run"), ts),
-            "repeat_position": run_position(F.col("repeats"), key, F.col("repeat_run"), ts),
+            "zero_position": run_position(F.col("is_zero"), F.col("place"), w),
+            "repeat_position": run_position(F.col("repeats"), F.col("place"), w),
         }
     )
     df = df.withColumn("stuck_member", dated & x.isNotNull() & flag(x != 0) & (F.col("run_rows") >= 2))
@@ -153,9 +155,9 @@ def annotate(panel: DataFrame, config: QualityConfig) -> DataFrame:
     )
 
 
-def anomaly_masks(panel: DataFrame, config: QualityConfig | None = None) -> DataFrame:
+def anomaly_masks(panel: DataFrame, config: QualityConfig | None = None, tasks: int | None = None) -> DataFrame:
     """All columns of the panel and the seven masks."""
-    return annotate(panel, config or QualityConfig()).select(*panel.columns, *[f"is_{m}" for m in MASKS])
+    return annotate(panel, config or QualityConfig(), tasks).select(*panel.columns, *[f"is_{m}" for m in MASKS])
 
 
 def calibration_table(panel: DataFrame, config: QualityConfig) -> DataFrame:

@@ -2,9 +2,9 @@
 
 The state a sequential repair would carry (last valid reading, position in the
 bad run, history of the hour of the week) is three window expressions on the
-entity key: the last valid reading before the row, a running count inside an
-island of bad rows, and the median of the last valid readings of the slot, found
-by a range frame over an ordinal that only valid readings advance.
+entity key: the last valid reading before the row, a running count of bad rows
+less what it was at the last reset, and the median of the last valid readings of
+the slot, found by a range frame over an ordinal that only valid readings advance.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, hour_of_week, is_finite
 from .detectors import QualityConfig, annotate
-from .windows import BEGIN, median
+from .windows import BEGIN, median, running, since
 
 STRATEGIES = ("forward_fill", "forward_then_profile")
 # Reason names in the order they are joined.
@@ -41,6 +41,7 @@ def repair(
     profile_hours: int = 48,
     profile_weeks: int = 8,
     profile_fills_ambiguous: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The panel with original_value, load (repaired), status, rule and reason.
 
@@ -59,7 +60,7 @@ def repair(
     columns = panel.columns
     ts = F.col("timestamp")
     protected = ~flag(ts < F.lit(repair_before).cast("timestamp_ntz")) if repair_before else F.lit(False)
-    df = annotate(panel, config).withColumn("protected", protected)
+    df = annotate(panel, config, tasks).withColumn("protected", protected)
     open_ = ~F.col("protected")
     df = df.withColumns(
         {
@@ -85,16 +86,16 @@ def repair(
     df = df.withColumns(
         {
             "last_valid": F.last(F.when(F.col("resets"), F.col("value")), ignorenulls=True).over(entity.rowsBetween(BEGIN, -1)),
-            "island": F.sum(F.col("resets").cast("int")).over(entity.rowsBetween(BEGIN, 0)),
-            "ordinal": F.coalesce(F.sum(F.col("valid").cast("int")).over(slot.rowsBetween(BEGIN, -1)), F.lit(0)),
+            "bad_rows": running(open_ & ~F.col("valid"), entity),
         }
     )
-    island = Window.partitionBy("building_id", "island").orderBy(time).rowsBetween(BEGIN, 0)
+    # both windows of the entity before those of the slot: one sort serves them
+    df = df.withColumn("position", F.col("bad_rows") - since(F.col("resets"), F.col("bad_rows"), entity))
+    df = df.withColumn("ordinal", F.coalesce(F.sum(F.col("valid").cast("int")).over(slot.rowsBetween(BEGIN, -1)), F.lit(0)))
     history = Window.partitionBy("building_id", "slot").orderBy("ordinal").rangeBetween(-profile_weeks, -1)
     past = F.when(F.col("valid"), F.col("value"))
     df = df.withColumns(
         {
-            "position": F.sum((open_ & ~F.col("valid")).cast("int")).over(island),
             "history_median": median(past, history, 1),
             "history_rows": F.count(past).over(history),
         }

@@ -7,10 +7,12 @@ one hash exchange serves any number of these columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BEGIN, END = Window.unboundedPreceding, Window.unboundedFollowing
+#: Rows of a panel that one task is to hold.
+TASK_ROWS = 100_000
 
 _STATS = {
     "mean": F.avg,
@@ -21,6 +23,20 @@ _STATS = {
 }
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks that rows are hashed into: their number grows with the rows, the memory of one does not."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def by_entity(panel: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The panel hashed by entity into ``tasks`` (by its count, if not given).
+
+    A given number is neither joined again by size nor moved again, if the panel
+    was hashed by entity into as many before.
+    """
+    return panel.repartition(tasks_for(panel.count()) if tasks is None else tasks, "building_id")
+
+
 def ordered(*keys: str | Column, time: str | Column = "timestamp") -> WindowSpec:
     """By entity in time order; rows without a time come last, where no causal frame sees them."""
     time = F.col(time) if isinstance(time, str) else time
@@ -64,10 +80,14 @@ def run_id(in_run: Column, over: WindowSpec) -> Column:
     return running(~in_run, over)
 
 
-def run_position(in_run: Column, key: Column, run: Column, time: Column) -> Column:
-    """1, 2, ... inside a run of true rows; 0 outside."""
-    over = Window.partitionBy(key, run).orderBy(time.asc_nulls_last()).rowsBetween(BEGIN, 0)
-    return F.when(in_run, F.sum(in_run.cast("int")).over(over)).otherwise(0)
+def run_position(in_run: Column, place: Column, over: WindowSpec) -> Column:
+    """1, 2, ... inside a run of true rows; 0 outside. ``place`` numbers the rows of ``over``, whose sort serves here too."""
+    return F.when(in_run, place - since(~in_run, place, over)).otherwise(0)
+
+
+def since(mark: Column, c: Column, over: WindowSpec) -> Column:
+    """What ``c`` was at the last row marked, the current one included; 0 before the first."""
+    return F.coalesce(F.last(F.when(mark, c), ignorenulls=True).over(over.rowsBetween(BEGIN, 0)), F.lit(0))
 
 
 def run_length(in_run: Column, key: Column, run: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..operators.windows import by_entity, tasks_for
 
 CUTOFF = "2024-01-21 00:00:00"
 TRAIN_END = "2024-01-20 23:00:00"
@@ -80,17 +81,23 @@ def zeroed_panel(spark: SparkSession, d: str) -> DataFrame:
     return count_panel(spark, d).withColumn("load", F.when(hour_number() % 60 < 5, F.lit(0.0)).otherwise(F.col("load")))
 
 
-def supplier_panel(spark: SparkSession, d: str) -> DataFrame:
+def supplier_tasks(spark: SparkSession, d: str) -> int:
+    """Tasks for the suppliers' panel, which has no more rows than lineitem (counted from the files' footers)."""
+    return tasks_for(table(spark, d, "lineitem").count())
+
+
+def supplier_panel(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
     """Daily quantities of many entities, with their attributes."""
-    joined = P.join_dimension(daily_suppliers(spark, d), supplier_metadata(spark, d))
+    joined = P.join_dimension(daily_suppliers(spark, d, tasks), supplier_metadata(spark, d))
     return joined.withColumn("load", F.col("load").cast("double"))
 
 
-def daily_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    """Daily quantities of suppliers, a panel of many entities with gaps."""
-    return table(spark, d, "lineitem").groupBy(
-        F.date_trunc("DAY", "l_shipdate").cast("timestamp_ntz").alias("timestamp"), F.col("l_suppkey").cast("string").alias("building_id")
-    ).agg(F.sum("l_quantity").alias("load"))
+def daily_suppliers(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
+    """Daily quantities of suppliers, a panel of many entities with gaps; with ``tasks``, hashed by entity before the sums."""
+    rows = table(spark, d, "lineitem").select(
+        F.date_trunc("DAY", "l_shipdate").cast("timestamp_ntz").alias("timestamp"), F.col("l_suppkey").cast("string").alias("building_id"), "l_quantity"
+    )
+    return (rows if tasks is None else by_entity(rows, tasks)).groupBy("timestamp", "building_id").agg(F.sum("l_quantity").alias("load"))
 
 
 def supplier_metadata(spark: SparkSession, d: str) -> DataFrame:

@@ -346,7 +346,8 @@ def many_entity_masks(spark, d):
 
 @query(_MANY_REPAIR + " SELECT building_id, status, reason, count(*) AS rows, round(sum(load), 4) AS load FROM done GROUP BY 1, 2, 3")
 def many_entity_repair(spark, d):
-    done = repair(I.supplier_panel(spark, d), SUPPLIER_QUALITY, repair_before=SUPPLIER_CUT, strategy="forward_then_profile", profile_weeks=8)
+    tasks = I.supplier_tasks(spark, d)
+    done = repair(I.supplier_panel(spark, d, tasks), SUPPLIER_QUALITY, repair_before=SUPPLIER_CUT, strategy="forward_then_profile", profile_weeks=8, tasks=tasks)
     return done.groupBy("building_id", "status", "reason").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("load"), 4).alias("load"))
 
 
