@@ -340,7 +340,8 @@ _MANY_REPAIR = f"WITH {I.SUPPLIER_PANEL}, {repair_sql('panel', SUPPLIER_QUALITY,
 @query(_MANY + " SELECT timestamp, building_id, load, is_outlier, is_stuck, is_level_shift FROM masked WHERE is_outlier OR is_stuck OR is_level_shift")
 def many_entity_masks(spark, d):
     """The detectors where entities are many and each has gaps."""
-    found = anomaly_masks(I.supplier_panel(spark, d), SUPPLIER_QUALITY)
+    tasks = I.supplier_tasks(spark, d)
+    found = anomaly_masks(I.supplier_panel(spark, d, tasks), SUPPLIER_QUALITY, tasks)
     return found.where("is_outlier OR is_stuck OR is_level_shift").select(*_KEY, "load", "is_outlier", "is_stuck", "is_level_shift")
 
 

@@ -49,6 +49,15 @@ def test_many_entity_repair_plan(spark, monkeypatch):
     assert df.rdd.getNumPartitions() == windows.tasks_for(spark.read.parquet(f"{DATA}/lineitem.parquet").count())
 
 
+def test_many_entity_masks_plan(spark, monkeypatch):
+    """One sort for all masks, and lineitem crosses the network once."""
+    monkeypatch.setattr(windows, "TASK_ROWS", 1000)
+    df = catalog.QUERIES["many_entity_masks"](spark, DATA)
+    assert sorts(df) == 1
+    assert plan(df).count("REPARTITION_BY_NUM") == 1
+    assert df.rdd.getNumPartitions() == windows.tasks_for(spark.read.parquet(f"{DATA}/lineitem.parquet").count())
+
+
 def test_positions_inside_runs(spark, panel_of):
     from loomgrid.operators.detectors import QualityConfig, annotate
 
