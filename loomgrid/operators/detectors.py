@@ -72,7 +72,7 @@ def annotate(panel: DataFrame, config: QualityConfig, tasks: int | None = None)
     in_calibration = dated & (flag(ts < boundary) if boundary is not None else F.lit(True))
 
     df = by_entity(panel, tasks).withColumn("x", no_nan(F.col("load").cast("double")))
-    df = df.withColumns({"prior": F.lag("x", 1).over(w), "place": F.row_number().over(w)})
+    df = df.withColumns({"prior": F.lag("x", 1).over(w), "row__": F.row_number().over(w)})
     prior_finite = finite_or_null(F.col("prior"))
     df = df.withColumns(
         {
@@ -99,8 +99,8 @@ def annotate(panel: DataFrame, config: QualityConfig, tasks: int | None = None)
             "mad": rolling(F.col("deviation"), "median", config.causal_window, least, w),
             "run_rows": F.count(F.lit(1)).over(run),
             "zero_length": run_length(F.col("is_zero"), key, F.col("zero_run")),
-            "zero_position": run_position(F.col("is_zero"), F.col("place"), w),
-            "repeat_position": run_position(F.col("repeats"), F.col("place"), w),
+            "zero_position": run_position(F.col("is_zero"), F.col("row__"), w),
+            "repeat_position": run_position(F.col("repeats"), F.col("row__"), w),
         }
     )
     df = df.withColumn("stuck_member", dated & x.isNotNull() & flag(x != 0) & (F.col("run_rows") >= 2))

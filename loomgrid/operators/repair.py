@@ -86,11 +86,11 @@ def repair(
     df = df.withColumns(
         {
             "last_valid": F.last(F.when(F.col("resets"), F.col("value")), ignorenulls=True).over(entity.rowsBetween(BEGIN, -1)),
-            "bad_rows": running(open_ & ~F.col("valid"), entity),
+            "bad_rows__": running(open_ & ~F.col("valid"), entity),
         }
     )
     # both windows of the entity before those of the slot: one sort serves them
-    df = df.withColumn("position", F.col("bad_rows") - since(F.col("resets"), F.col("bad_rows"), entity))
+    df = df.withColumn("position", F.col("bad_rows__") - since(F.col("resets"), F.col("bad_rows__"), entity))
     df = df.withColumn("ordinal", F.coalesce(F.sum(F.col("valid").cast("int")).over(slot.rowsBetween(BEGIN, -1)), F.lit(0)))
     history = Window.partitionBy("building_id", "slot").orderBy("ordinal").rangeBetween(-profile_weeks, -1)
     past = F.when(F.col("valid"), F.col("value"))

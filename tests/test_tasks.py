@@ -65,3 +65,9 @@ def test_positions_inside_runs(spark, panel_of):
     got = annotate(panel_of({"a": xs, "b": xs}), QualityConfig()).orderBy("building_id", "timestamp").select("zero_position", "repeat_position").collect()
     want = [(1, 0), (2, 0), (0, 0), (0, 1), (0, 2), (0, 0), (0, 0), (1, 0), (0, 0), (0, 1)]
     assert [tuple(r) for r in got] == want * 2
+
+
+@pytest.mark.parametrize("what", [anomaly_masks, repair])
+def test_columns_of_the_panel_are_kept(panel_of, what):
+    panel = panel_of({"a": [1.0, 2.0, 3.0]}).withColumns({"place": F.hour("timestamp") * 10, "bad_rows": F.lit(7)})
+    assert sorted(tuple(r) for r in what(panel).select("place", "bad_rows").collect()) == [(0, 7), (10, 7), (20, 7)]
